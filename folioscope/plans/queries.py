@@ -1,0 +1,4 @@
+"""Registered queries of the bibliographic engine and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
