@@ -39,6 +39,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.phrases import dedup_phrases
+
+    return dedup_phrases(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.suffixes import dedup_substrings
+
+    return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.mixing import mix_sources
 
@@ -74,5 +86,5 @@ u AS (SELECT *, sum(size) OVER (ORDER BY finish, tag, doc_id, source, size, copy
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN used <= goal THEN size ELSE 0 END) AS BIGINT) AS taken FROM u GROUP BY doc_id, source, size, source_size, target
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op10_mix_sources": OP10_SQL}
