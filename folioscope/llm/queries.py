@@ -39,6 +39,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.simhash import near_duplicates
+
+    out = near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.phrases import dedup_phrases
 
@@ -86,5 +93,5 @@ u AS (SELECT *, sum(size) OVER (ORDER BY finish, tag, doc_id, source, size, copy
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN used <= goal THEN size ELSE 0 END) AS BIGINT) AS taken FROM u GROUP BY doc_id, source, size, source_size, target
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_simhash_dedup, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op10_mix_sources": OP10_SQL}
