@@ -46,6 +46,24 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import quality
+
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", F.col("junk").alias("junk_score"), F.col("toxic").alias("toxic_score"), (F.col("junk") >= 0.5).alias("is_junk"), (F.col("toxic") >= 0.5).alias("is_toxic"), "keep")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import langid
+    from folioscope.llm.text import doc_input
+
+    docs = read(spark, sf_dir, "documents")
+    training = docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    model = langid.fit(training, langid.vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    return langid.predict(doc_input(docs), model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.phrases import dedup_phrases
 
@@ -93,5 +111,5 @@ u AS (SELECT *, sum(size) OVER (ORDER BY finish, tag, doc_id, source, size, copy
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN used <= goal THEN size ELSE 0 END) AS BIGINT) AS taken FROM u GROUP BY doc_id, source, size, source_size, target
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_simhash_dedup, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_simhash_dedup, op5_quality, op7_language, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op10_mix_sources": OP10_SQL}
