@@ -39,6 +39,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), 5, 50)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.simhash import near_duplicates
 
@@ -54,6 +60,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", F.col("junk").alias("junk_score"), F.col("toxic").alias("toxic_score"), (F.col("junk") >= 0.5).alias("is_junk"), (F.col("toxic") >= 0.5).alias("is_toxic"), "keep")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.warc import read_packages, write_packages
+
+    packages = write_packages(read(spark, sf_dir, "pages"))
+    return read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import langid
     from folioscope.llm.text import doc_input
@@ -96,6 +109,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 1000
+"""
+
 OP10_SQL = r"""
 WITH base AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17') AS tag FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
@@ -111,5 +139,5 @@ u AS (SELECT *, sum(size) OVER (ORDER BY finish, tag, doc_id, source, size, copy
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN used <= goal THEN size ELSE 0 END) AS BIGINT) AS taken FROM u GROUP BY doc_id, source, size, source_size, target
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op4_simhash_dedup, op5_quality, op7_language, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op10_mix_sources": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_exact_top_k, op4_simhash_dedup, op5_quality, op6_warc, op7_language, op8_phrase_dedup, op9_suffix_dedup, op10_mix_sources)}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op6_warc": OP6_SQL, "op10_mix_sources": OP10_SQL}
