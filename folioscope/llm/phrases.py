@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioscope.llm import text as tx
-from folioscope.llm.repeats import Units, merge_spans, number_rows, repeated_runs
+from folioscope.llm.repeats import Units, finish, merge_spans, number_rows, repeated_runs
 
 WORDS, GRAM = 50, 8
 
@@ -75,7 +75,7 @@ def examine(length: int):
     return work
 
 
-RESULT = "doc_id long, text string, kept string, n_words long, n_removed long, removed array<struct<start:int,end:int>>"
+RESULT = [("text", "string"), ("kept", "string"), ("n_words", "long"), ("n_removed", "long"), ("removed", "array<struct<start:int,end:int>>")]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +94,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b" ".join([raw[a:b] for a, b in zip((start[here] - at).tolist(), (end[here] - at).tolist())]).decode())
             cut.append([{"start": s, "end": e} for s, e in merged])
             gone.append(int(len(stays) - stays.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), pa.array(np.diff(first)), pa.array(gone, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text", "kept", "n_words", "n_removed", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(kept, pa.string()), pa.array(np.diff(first)), pa.array(gone, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["row", "text", "kept", "n_words", "n_removed", "removed"])
 
 
-def dedup_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def dedup_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, text, kept (the words that stay, joined by spaces),
     n_words, n_removed and removed (spans of words that go: those of passages of `words` words
     or more that an earlier document has too).
 
     Earlier means a smaller id; a null id is later than all others, and rows with the same id
-    don't remove from each other. Null, empty and shorter texts stay as they are.
+    don't remove from each other. Null, empty and shorter texts stay as they are. Other columns
+    have no part in it; with `carry` they come back, as they are, in a struct `rest`.
     """
-    rows = number_rows(docs, doc_id, text)
+    rows = number_rows(docs, doc_id, text, carry)
     spans = repeated_runs(rows, Units(words, gram, words=True), True, examine(words))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans", "did").mapInArrow(_cut, RESULT)
+    return finish(rows, spans, _cut, RESULT)

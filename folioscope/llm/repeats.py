@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm import text as tx
 from folioscope.llm.storage import shared_folder
@@ -153,18 +154,19 @@ def _examine(work: Callable[[list[dict]], list[list[dict]]]) -> Callable:
     return run
 
 
-def number_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def number_rows(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
     """rid: a number of its own for each row, also where ids repeat or are null. did: the order of
-    documents, null ids after all others. docs must be deterministic, as files or a checkpoint are."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    documents, null ids after all others. row: all columns but the text, if they are to be carried.
+    docs must be deterministic, as files or a checkpoint are."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text] if carry else []
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *([F.struct(*rest).alias("rest")] if rest else [])).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[list[dict]], list[list[dict]]], crowded: int = CROWDED) -> DataFrame:
     """(rid, spans): for the rows of `number_rows` the ranges of units that are to go: those of
     runs that also start in an earlier document (across), or anywhere else (not across)."""
     shared_folder(rows.sparkSession)
-    texts = rows.select("rid", "did", "text")
-    found = texts.mapInArrow(_anchor_rows(units), "h long, c long, rid long, did long, s int, left int, n int")
+    found = rows.select("rid", "did", "text").mapInArrow(_anchor_rows(units), "h long, c long, rid long, did long, s int, left int, n int")
     if across:
         families = found.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
     else:
@@ -176,10 +178,11 @@ def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[l
     classes = classes.join(sizes, "h")
     alone = classes.where("members = 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"), F.col("first"), (F.col("copies") > 1).alias("again"))).alias("runs"))
     several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n")).alias("class"), (F.col("members") > crowded).alias("crowd"))
-    some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(texts, "rid").select("classes", "text", "did")
+    #: These joins with texts and the caller's have all columns of rows, and so one exchange.
+    some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
     areas = some.mapInArrow(_areas(units, False), "h long, c long, first long, copies long, left int, n int, area binary")
     examined = areas.repartition("h").sortWithinPartitions("h").mapInArrow(_examine(work), FOUND)
-    many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(texts, "rid").select("classes", "text", "did")
+    many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
     each = many.mapInArrow(_areas(units, True), "h long, c long, first long, copies long, step int, rel int, run long")
     met = each.groupBy("h", "rel", "run").agg(F.min("first").alias("least"), F.sum("copies").alias("times"))
     counted = each.select("h", "c", "step", "rel", "run").join(met, ["h", "rel", "run"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("step").alias("a"), F.col("step").alias("b"), F.col("least").alias("first"), (F.col("times") > 1).alias("again"))).alias("runs"))
@@ -197,3 +200,9 @@ def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
+
+
+def finish(rows: DataFrame, spans: DataFrame, cut: Callable, fields: list[tuple[str, str]]) -> DataFrame:
+    """Gives each row its spans and cuts them out; the columns of `row` come first."""
+    whole = rows.join(spans, "rid", "left").select("row", "text", "spans", "did")
+    return whole.mapInArrow(cut, T.StructType([rows.schema["row"], *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])).select("row.*", *[name for name, _ in fields])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioscope.llm import text as tx
-from folioscope.llm.repeats import Units, merge_spans, number_rows, repeated_runs
+from folioscope.llm.repeats import Units, finish, merge_spans, number_rows, repeated_runs
 
 LENGTH, GRAM = 200, 32
 
@@ -174,7 +174,7 @@ def examine(length: int):
     return work
 
 
-RESULT = "doc_id long, text string, kept binary, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>"
+RESULT = [("text", "string"), ("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("removed", "array<struct<start:int,end:int>>")]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +192,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, raw[at:]]))
             cut.append([{"start": s, "end": e} for s, e in merged])
             gone.append(sum(e - s for s, e in merged))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text", "kept", "n_bytes", "n_removed", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["row", "text", "kept", "n_bytes", "n_removed", "removed"])
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, text, kept (the bytes that stay), n_bytes, n_removed
     and removed (maximal spans of bytes that go, in all copies).
 
     Texts are UTF-8 bytes; null and empty texts have none. Repeated rows are texts of their
     own, so they empty each other if they are long enough; texts below `length` bytes stay.
-    Null and repeated ids are carried. Other columns of docs have no part in it.
+    Null and repeated ids are carried. Other columns have no part in it; with `carry` they come
+    back, as they are, in a struct `rest`.
     """
-    rows = number_rows(docs, doc_id, text)
+    rows = number_rows(docs, doc_id, text, carry)
     spans = repeated_runs(rows, Units(length, gram, words=False), False, examine(length))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans", "did").mapInArrow(_cut, RESULT)
+    return finish(rows, spans, _cut, RESULT)
 
 
