@@ -150,18 +150,22 @@ def _occurrences(index: DataFrame, phrase: Query) -> DataFrame:
     return each.groupBy("doc", "part", (F.col("place") - F.col("i")).alias("place")).agg(F.countDistinct("i").alias("k")).where(F.col("k") == n).select("doc", "part", "place")
 
 
-def _phrases(q: Query) -> list[Query]:
-    """Those that count for the score: not what a NOT excludes."""
+def _phrases(index: DataFrame, q: Query) -> list[tuple[DataFrame, DataFrame]]:
+    """For each phrase that counts for the score (not what a NOT excludes) where it is, and where it
+    counts: in a NEAR only beside the others."""
     if q.kind == "phrase":
-        return [q]
-    return [p for a in (q.args[:1] if q.kind == "not" else q.args) for p in _phrases(a)]
+        return [(found := _occurrences(index, q), found)]
+    if q.kind == "near":
+        rows = _near(index, q)
+        return [(_occurrences(index, p), rows.select("doc", "part", F.col(f"p{i}").alias("place")).distinct()) for i, p in enumerate(q.args)]
+    return [p for a in (q.args[:1] if q.kind == "not" else q.args) for p in _phrases(index, a)]
 
 
 def _matching(index: DataFrame, q: Query) -> DataFrame:
     if q.kind == "phrase":
         return _occurrences(index, q).select("doc").distinct()
     if q.kind == "near":
-        return _near(index, q)
+        return _near(index, q).select("doc").distinct()
     first, *rest = [_matching(index, a) for a in q.args]
     for r in rest:
         first = {"and": lambda a, b: a.join(b, "doc", "left_semi"), "or": lambda a, b: a.unionAll(b).distinct(), "not": lambda a, b: a.join(b, "doc", "left_anti")}[q.kind](first, r)
@@ -169,15 +173,15 @@ def _matching(index: DataFrame, q: Query) -> DataFrame:
 
 
 def _near(index: DataFrame, q: Query) -> DataFrame:
-    """Documents with all phrases in one column, with at most `within` tokens between the end of the
-    first and the start of the last."""
+    """Places p0, p1, ... of all phrases in one column, with at most `within` tokens between the end of
+    the first and the start of the last."""
     out = None
     for i, p in enumerate(q.args):
         own = _occurrences(index, p).select("doc", "part", F.col("place").alias(f"p{i}"), (F.col("place") + len(p.terms)).alias(f"e{i}"))
         out = own if out is None else out.join(own, ["doc", "part"])
     starts, ends = [F.col(f"p{i}") for i in range(len(q.args))], [F.col(f"e{i}") for i in range(len(q.args))]
     gap = starts[0] * 0 if len(q.args) == 1 else F.greatest(*starts) - F.least(*ends)
-    return out.where(gap <= q.within).select("doc").distinct()
+    return out.where(gap <= q.within)
 
 
 def bm25(docs: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame:
@@ -191,9 +195,9 @@ def bm25(docs: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame
     sizes = docs.select(F.col(key).alias("doc"), sum((F.size(fts_tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns), F.lit(0)).alias("dl"))
     whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     scores = None
-    for p in _phrases(parsed):
-        counts = _occurrences(index, p).groupBy("doc").agg(F.count("*").alias("tf"))
-        df = counts.agg(F.count("*").alias("df"))
+    for anywhere, counted in _phrases(index, parsed):
+        counts = counted.groupBy("doc").agg(F.count("*").alias("tf"))
+        df = anywhere.agg(F.countDistinct("doc").alias("df"))
         part = counts.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(whole)).join(sizes, "doc")
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)

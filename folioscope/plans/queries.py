@@ -429,18 +429,18 @@ def catalog_fallback(spark, d):
 
 
 def _entries(spark, d):
-    """benchmark items as bibliography entries, documents as candidates."""
-    b = A.table(spark, d, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("key"), F.col("item_id").alias("pos"), F.left("text", F.lit(120)).alias("title"), F.lit("").alias("author"), (F.lit(2000) + F.col("item_id") % 20).cast("string").alias("year"))
+    """Some parts as bibliography entries, all others as candidates."""
+    b = A.table(spark, d, "part").where("p_partkey % 20 = 0")
+    return b.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), F.lit("").alias("author"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"))
 
 
 def _candidates(spark, d):
-    b = A.documents(spark, d)
-    return b.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.left("text", F.lit(120)).alias("title"), (F.lit(2000) + F.col("doc_id") % 20).cast("string").alias("year"), F.array(F.lit("A B")).alias("authors"))
+    b = A.table(spark, d, "part").where("p_partkey % 20 <> 0")
+    return b.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"), F.array(F.lit("A B")).alias("authors"))
 
 
-_NORM = "lower(regexp_replace(left(text, 120), '[^\\p{L}\\p{N}]', '', 'g'))"
-_MATCH = f"""WITH e AS (SELECT CAST(item_id AS VARCHAR) AS key, {_NORM} AS t, CAST(2000 + item_id % 20 AS VARCHAR) AS year FROM benchmark), c AS (SELECT doc_id AS c_id, {_NORM} AS ct, CAST(2000 + doc_id % 20 AS VARCHAR) AS c_year FROM documents),
+_NORM = "lower(regexp_replace(p_name || ' ' || p_type, '[^\\p{L}\\p{N}]', '', 'g'))"
+_MATCH = f"""WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS key, {_NORM} AS t, CAST(1970 + p_size AS VARCHAR) AS year FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS c_id, {_NORM} AS ct, CAST(1970 + p_size AS VARCHAR) AS c_year FROM part WHERE p_partkey % 20 <> 0),
 p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(t), length(ct)) + 1), lambda i: t[i] <> ct[i])) - 1, least(length(t), length(ct))) AS prefix FROM e, c WHERE left(t, 10) = left(ct, 10) AND length(t) >= 10 AND length(ct) >= 10),
 s AS (SELECT *, prefix >= 15 OR (prefix >= 10 AND prefix >= 0.8 * length(t)) AS close FROM p)"""
 
@@ -455,7 +455,7 @@ def fuzzy_first(spark, d):
     return linkage.first_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id")
 
 
-@query(f"""WITH e AS (SELECT CAST(item_id AS VARCHAR) AS key, {_NORM} AS t FROM benchmark), c AS (SELECT doc_id AS c_id, {_NORM} AS ct FROM documents) SELECT key, min(c_id) AS c_id FROM e JOIN c ON left(t, least(20, length(t), length(ct))) = left(ct, least(20, length(t), length(ct))) WHERE length(t) > 0 AND length(ct) > 0 GROUP BY key""")
+@query(f"""WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS key, {_NORM} AS t FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS c_id, {_NORM} AS ct FROM part WHERE p_partkey % 20 <> 0) SELECT key, min(c_id) AS c_id FROM e JOIN c ON left(t, least(20, length(t), length(ct))) = left(ct, least(20, length(t), length(ct))) WHERE length(t) > 0 AND length(ct) > 0 GROUP BY key""")
 def book_prefix(spark, d):
     return linkage.book_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id")
 
