@@ -9,8 +9,9 @@ which is examined once, however many copies it has.
 - families with one class: its runs are repeated as often as the class;
 - families of at most CROWDED classes: one area of each class is sent to the family's task,
   where the calling operator works on the texts (a suffix array, or an automaton);
-- larger families: their classes' runs are counted by their hashes, in groups that combine
-  before the shuffle, so that no task gets a whole family.
+- larger families are dealt to as many parts as their size asks for. Each part counts the runs
+  of its classes by hash; the counts, not the classes, meet in as many buckets of hashes; and
+  what other parts know of a run goes back to those that have it. No task gets a whole family.
 
 No text is shuffled more than once for each of the two places that need it, and what each
 stage gathers is bounded by the crowd limit or by one document.
@@ -106,16 +107,18 @@ def _areas(units: Units, hashes: bool) -> Callable:
             for row in range(batch.num_rows):
                 values, _, start, end = units.read(data[offsets[row] : offsets[row + 1]], np.array([0, offsets[row + 1] - offsets[row]]))
                 classes = wanted[row].values.flatten() if hasattr(wanted[row].values, "flatten") else None
-                h, c, first, copies, s, left, n = (classes[i] for i in range(7))
+                h, c, first, copies, s, left, n, parts = (classes[i] for i in range(8))
                 s_, n_ = s.to_numpy(), n.to_numpy()
                 if hashes:
+                    #: the hash of each run, with its place beside the anchor
                     prefix = tx.prefix_hash(values)
                     which = np.repeat(np.arange(len(s_)), n_)
                     step = np.arange(len(which)) - np.repeat(np.cumsum(n_) - n_, n_)
                     at = s_[which] + step
-                    take = pa.array(which)
-                    rel = (left.to_numpy()[which] - step).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([h.take(take), c.take(take), first.take(take), copies.take(take), pa.array(step.astype(np.int32)), pa.array(rel), pa.array(tx.span_hash(prefix, at, at + units.window).view(np.int64))], names=["h", "c", "first", "copies", "step", "rel", "run"])
+                    rel = (left.to_numpy()[which] - step).astype(np.uint64)
+                    keys = tx.mix(tx.span_hash(prefix, at, at + units.window) ^ tx.mix(rel)).view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_)]).astype(np.int32)), pa.array(keys))
+                    yield pa.RecordBatch.from_arrays([h, c, first, copies, parts, lists], names=["h", "c", "first", "copies", "parts", "keys"])
                 else:
                     raw = data[offsets[row] : offsets[row + 1]].tobytes()
                     texts = [raw[start[i] : end[i + m + units.window - 2]] for i, m in zip(s_.tolist(), n_.tolist())]
@@ -154,6 +157,71 @@ def _examine(work: Callable[[list[dict]], list[list[dict]]]) -> Callable:
     return run
 
 
+#: Runs by hash: least document and number of copies, as a part of a family knows them.
+_COUNTS = "h long, part int, bucket int, keys array<long>, first array<long>, times array<long>"
+
+
+def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and how many each row has."""
+    column = table[name].combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def _combined(keys: np.ndarray, first: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys with their least first and sum of times, and the number of each key."""
+    different, number = np.unique(keys, return_inverse=True)
+    least = np.full(len(different), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, first)
+    return different, least, np.bincount(number, times, len(different)).astype(np.int64), number
+
+
+def _counts(h: int, rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (2, 3, 4)]
+    return pa.table([pa.array([h] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *lists], names=["h", "part", "bucket", "keys", "first", "times"])
+
+
+def _count_part(table: pa.Table) -> pa.Table:
+    """What a part knows: a row for each bucket of hashes."""
+    keys, sizes = _flat(table, "keys")
+    different, least, times, _ = _combined(keys, np.repeat(table["first"].to_numpy(), sizes), np.repeat(table["copies"].to_numpy(), sizes))
+    bucket = np.mod(different, table["parts"][0].as_py())
+    part = table["part"][0].as_py()
+    return _counts(table["h"][0].as_py(), [(part, int(b), different[at], least[at], times[at]) for b in np.unique(bucket) for at in [bucket == b]])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """All that is known of a bucket's runs, given back to each part that has them and knows less."""
+    keys, sizes = _flat(table, "keys")
+    first, times = _flat(table, "first")[0], _flat(table, "times")[0]
+    different, least, total, number = _combined(keys, first, times)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    news = (least[number] < first) | (total[number] > times)
+    parts = table["part"].to_pylist()
+    rows = [(parts[r], 0, keys[at], least[number[at]], total[number[at]]) for r in range(len(sizes)) for at in [news & (row == r)] if at.any()]
+    return _counts(table["h"][0].as_py(), rows)
+
+
+def _tell(own: pa.Table, met: pa.Table) -> pa.Table:
+    """Each class's runs, with what its part and the others know."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.int64()), ("again", pa.bool_())]))
+    if not own.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], names=["h", "c", "runs"])
+    keys, sizes = _flat(own, "keys")
+    different, least, times, number = _combined(keys, np.repeat(own["first"].to_numpy(), sizes), np.repeat(own["copies"].to_numpy(), sizes))
+    if met.num_rows:
+        at = np.searchsorted(different, _flat(met, "keys")[0])
+        least[at], times[at] = _flat(met, "first")[0], _flat(met, "times")[0]
+    out, end = [], 0
+    for size in sizes.tolist():
+        n = number[end : end + size]
+        end += size
+        first, again = least[n], times[n] > 1
+        turn = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (again[1:] != again[:-1])])).tolist()
+        out.append([{"a": a, "b": b - 1, "first": int(first[a]), "again": bool(again[a])} for a, b in zip(turn, [*turn[1:], size])])
+    return pa.table([own["h"], own["c"], pa.array(out, kind)], names=["h", "c", "runs"])
+
+
 def number_rows(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
     """rid: a number of its own for each row, also where ids repeat or are null. did: the order of
     documents, null ids after all others. row: all columns but the text, if they are to be carried.
@@ -177,15 +245,16 @@ def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[l
     sizes = classes.groupBy("h").agg(F.count("*").alias("members"))
     classes = classes.join(sizes, "h")
     alone = classes.where("members = 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"), F.col("first"), (F.col("copies") > 1).alias("again"))).alias("runs"))
-    several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n")).alias("class"), (F.col("members") > crowded).alias("crowd"))
+    several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n"), F.ceil(F.col("members") / crowded).cast("int").alias("parts")).alias("class"), (F.col("members") > crowded).alias("crowd"))
     #: These joins with texts and the caller's have all columns of rows, and so one exchange.
     some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
     areas = some.mapInArrow(_areas(units, False), "h long, c long, first long, copies long, left int, n int, area binary")
     examined = areas.repartition("h").sortWithinPartitions("h").mapInArrow(_examine(work), FOUND)
     many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
-    each = many.mapInArrow(_areas(units, True), "h long, c long, first long, copies long, step int, rel int, run long")
-    met = each.groupBy("h", "rel", "run").agg(F.min("first").alias("least"), F.sum("copies").alias("times"))
-    counted = each.select("h", "c", "step", "rel", "run").join(met, ["h", "rel", "run"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("step").alias("a"), F.col("step").alias("b"), F.col("least").alias("first"), (F.col("times") > 1).alias("again"))).alias("runs"))
+    each = many.mapInArrow(_areas(units, True), "h long, c long, first long, copies long, parts int, keys array<long>").withColumn("part", F.pmod("c", F.col("parts")).cast("int"))
+    known = each.groupBy("h", "part").applyInArrow(_count_part, _COUNTS)
+    met = known.groupBy("h", "bucket").applyInArrow(_meet, _COUNTS).select(F.col("h").alias("met_h"), F.col("part").alias("met_part"), "keys", "first", "times")
+    counted = each.groupBy("h", "part").cogroup(met.groupBy("met_h", "met_part")).applyInArrow(_tell, FOUND)
     results = alone.unionByName(examined).unionByName(counted)
     goes: Column = F.filter("runs", lambda r: r["first"] < F.col("did")) if across else F.filter("runs", lambda r: r["again"])
     hits = held.select("h", "c", "rid", "did", "s").join(results, ["h", "c"]).select("rid", F.transform(goes, lambda r: F.struct((F.col("s") + r["a"]).alias("start"), (F.col("s") + r["b"] + F.lit(units.window)).alias("end"))).alias("spans"))
