@@ -240,10 +240,10 @@ def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[l
     else:
         families = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     #: Written once to the shared folder: all that follows reads these few rows instead of texts.
-    held = found.join(families, "h").checkpoint()
+    held = found.join(tx.splittable(families), "h").checkpoint()
     classes = held.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("did").alias("first"), F.min(F.struct("rid", "s", "left", "n")).alias("at"))
     sizes = classes.groupBy("h").agg(F.count("*").alias("members"))
-    classes = classes.join(sizes, "h")
+    classes = classes.join(tx.splittable(sizes), "h")
     alone = classes.where("members = 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"), F.col("first"), (F.col("copies") > 1).alias("again"))).alias("runs"))
     several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n"), F.ceil(F.col("members") / crowded).cast("int").alias("parts")).alias("class"), (F.col("members") > crowded).alias("crowd"))
     #: These joins with texts and the caller's have all columns of rows, and so one exchange.

@@ -186,3 +186,11 @@ def doc_input(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """Only the id (as a 64-bit integer) and the text, under fixed names: other columns, whatever
     they are called, can't get in the way."""
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def splittable(sums: DataFrame) -> DataFrame:
+    """Sums by a key, dealt out anew, for a join on that key. Right after its aggregation this side
+    would already be dealt by the key, and the tasks of the join, bound to it, would each have to
+    take all rows that the other side has for a hot key. So the join deals both sides itself, and
+    adaptive execution may split what is skewed. Only the sums are shuffled once more."""
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
