@@ -445,7 +445,7 @@ p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(t), length(c
 s AS (SELECT *, prefix >= 15 OR (prefix >= 10 AND prefix >= 0.8 * length(t)) AS close FROM p)"""
 
 
-@query(f"{_MATCH}, r AS (SELECT key, c_id, CAST(prefix + CASE WHEN close AND year = c_year THEN 10 ELSE 0 END + CASE WHEN close THEN 15 ELSE 0 END AS INTEGER) AS score FROM s) SELECT key, arg_max(c_id, score * 1000000000 - c_id) AS c_id, max(score) AS score FROM r GROUP BY key HAVING max(score) >= 20")
+@query(f"{_MATCH}, r AS (SELECT key, c_id, CAST(prefix + CASE WHEN close AND year = c_year THEN 10 ELSE 0 END + CASE WHEN close THEN 15 ELSE 0 END AS INTEGER) AS score FROM s) SELECT key, arg_max(c_id, CAST(score AS BIGINT) * 1000000000 - c_id) AS c_id, max(score) AS score FROM r GROUP BY key HAVING max(score) >= 20")
 def fuzzy_best(spark, d):
     return linkage.best_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id", F.col("score").cast("int").alias("score"))
 
