@@ -70,7 +70,14 @@ class Best:
         self.k, self.exact = k, exact
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        """scores: a row for each query. A vector with the query's own id is left out."""
+        """scores: a row for each query. A vector with the query's own id is left out. Only queries
+        and vectors that reach a kth score so far are sorted."""
+        near = scores >= self.scores[queries, -1][:, None]
+        rows = near.any(1)
+        if not rows.any():
+            return
+        columns = near[rows].any(0)
+        queries, scores, ids = queries[rows], scores[np.ix_(rows, columns)], ids[columns]
         known = np.where(ids[None, :] == own[queries][:, None], np.iinfo(np.int64).min, scores)
         shown = np.where(known == np.iinfo(np.int64).min, np.iinfo(np.int64).max, ids[None, :])
         scores = np.concatenate([self.scores[queries], known], axis=1)
