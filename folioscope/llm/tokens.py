@@ -13,6 +13,7 @@ pre-tokenizer always begins a new piece, and the library's count of a segment is
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -171,8 +172,9 @@ class SegmentCounter:
                 new.update(x for x in rest if x not in known)
         if new:
             if len(known) > REMEMBERED:
-                known.clear()
-                new = {x for p in parts if isinstance(p, list) for x in p}
+                #: those that came first are the frequent ones: they stay
+                self.known = known = dict(islice(known.items(), REMEMBERED // 3))
+                new = {x for p in parts if isinstance(p, list) for x in p if x not in known}
             ask = list(new)
             known.update(zip(ask, self.segments(ask)))
         out = [p if isinstance(p, int) else sum(map(known.__getitem__, p)) for p in parts]
