@@ -38,6 +38,13 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each.select("doc", F.col("p.part").alias("part"), F.posexplode("p.terms").alias("place", "term"))
 
 
+def maintain_postings(index: DataFrame, changed: DataFrame, gone: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The index after documents were added, changed (whole rows) or removed (keys): only theirs
+    is made anew."""
+    touched = changed.select(F.col(key).alias("doc")).unionAll(gone.select(F.col(key).alias("doc"))).distinct()
+    return index.join(touched, "doc", "left_anti").unionByName(postings(changed, key, columns))
+
+
 @dataclass
 class Query:
     """A node of a parsed query: phrase (terms, the last perhaps a prefix, perhaps in one column),

@@ -292,3 +292,39 @@ def test_render(spark):
     assert df.select(render.source_yaml("doi", F.col("doi"), F.lit("2020-01-01")).alias("y")).first().y == 'title: "T"\nauthors: "A B and C D"\nyear: 2001\ndoi: "d"\nretrieved: "2020-01-01"\n'
     assert render.from_rows(render.to_rows(df)).first().asDict() == df.first().asDict()
     assert df.select(render.report_line(F.lit(1)).alias("l")).first().l == "1. T (2001) A B, C D [3 citations]"
+
+
+def test_fetch(spark, tmp_path):
+    from folioscope.sources import fetch as f
+
+    seen = []
+
+    def flaky(url):
+        seen.append(url)
+        if len(seen) < 3:
+            return 429, {"Retry-After": "99"}, ""
+        return 200, {}, "{}"
+
+    waits = []
+    assert f.retrying(flaky, "u", waits.append) == "{}" and waits == [5.0, 5.0]
+    assert f.retrying(lambda u: (404, {}, "{}"), "u") is None
+    assert f.retrying(lambda u: (503, {}, ""), "u", lambda s: None) is None
+    requests = spark.createDataFrame([("a", "ua"), ("b", "ub"), ("c", "uc")], "cache_key string, url string")
+    cache = spark.sql("SELECT 'a' AS cache_key, 'ua' AS url, '{1}' AS body, timestamp'2020-01-01 00:00:00' AS fetched_at UNION ALL SELECT 'b', 'ub', '{old}', timestamp'2000-01-01 00:00:00'")
+    got = f.fetch(requests, cache, lambda u: (200, {}, f"[{u}]" if u == "ub" else "plain"), F.lit("2020-01-01 01:00:00").cast("timestamp"))
+    assert {r.cache_key: r.body for r in got.collect()} == {"a": "{1}", "b": "[ub]"}
+    assert f.inside(str(tmp_path), "x.bib", ".bib").name == "x.bib"
+    for bad, suffix in (("../x", None), ("x.txt", ".bib")):
+        with pytest.raises(ValueError):
+            f.inside(str(tmp_path), bad, suffix)
+
+
+def test_work_record_and_postings(spark):
+    works = spark.createDataFrame([("w", json.dumps({"title": "T", "authors": [{"author": {"key": "/a/1"}}, {"author": {"key": "/a/2"}}]}))], "work string, body string")
+    editions = spark.createDataFrame([("w", json.dumps({"entries": [{"publishers": ["late"], "publish_date": "2001"}, {"publishers": ["none"]}, {"publishers": ["early"], "publish_date": "May 1990"}]}))], "work string, body string")
+    authors = spark.createDataFrame([("/a/1", json.dumps({"name": "Ezekiel, Mordecai"}))], "key string, body string")
+    assert tuple(commands.work_record(works, editions, authors).first()) == ("w", "T", "early", "1990", "Mordecai Ezekiel")
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c")], "id int, t string")
+    index = search.postings(docs, "id", ["t"])
+    new = search.maintain_postings(index, spark.createDataFrame([(2, "z"), (4, "y")], "id int, t string"), spark.createDataFrame([(3,)], "id int"), "id", ["t"])
+    assert {(r.doc, r.term) for r in new.collect()} == {(1, "a"), (1, "b"), (2, "z"), (4, "y")}
