@@ -100,16 +100,25 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", huge: int = HUG
     and empty texts have 0 bytes and 0 tokens. A column with a result's name is replaced.
     """
 
-    counters: list[SegmentCounter] = []  # one for each task
+    key = (path, huge, chunk, overlap)
 
     def work(batch: pa.RecordBatch) -> dict:
-        if not counters:
-            counters.append(SegmentCounter(load(path), huge, chunk, overlap))
-        return counters[0].batch(batch.column(batch.schema.get_field_index(text)))
+        return _counter(*key).batch(batch.column(batch.schema.get_field_index(text)))
 
     return tx.with_results(docs, work, RESULT)
 
 
+_counters: dict[tuple, "SegmentCounter"] = {}
+
+
+def _counter(*key) -> "SegmentCounter":
+    """The counter of a worker process, which serves all its tasks."""
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = SegmentCounter(load(key[0]), *key[1:])
+    return _counters[key]
+
+
 def _byte_letters() -> dict[str, str]:
     """The printable letter that byte-level vocabularies have in place of each byte: itself
     where it is printable Latin-1, else the next one from U+0100 on."""
