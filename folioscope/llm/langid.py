@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ FIT_DOCUMENTS, ROUNDS, REMEMBERED = 20_000, 2, 700_000
 #: The probability of a letter that no piece covers, and the counts that smooth each piece.
 UNKNOWN, SMOOTH = 1e-7, 0.05
 UNDETERMINED = "und"
+#: Words scored together, and letters from which a word is scored alone.
+BATCH_WORDS, LONG_WORD = 2048, 40
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,6 +62,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
+        #: the same as a table, with the unknown letter and, last, what is no piece
+        self.numbers = {p: n for n, p in enumerate(self.pieces)}
+        self.table = np.array([*self.pieces.values(), (UNKNOWN,) * len(self.languages), (0.0,) * len(self.languages)], float).reshape(len(self.pieces) + 2, len(self.languages))
 
     def score(self, word: str) -> list[float]:
         """Log probability of a word in each language: the forward algorithm, scaled at each letter."""
@@ -87,6 +94,39 @@ class Model:
         return [math.log(max(x, 1e-300)) + shift for x in alpha[size]]
 
 
+    def score_many(self, words: list[str]) -> np.ndarray:
+        """`score` of many words (a row each): the same sums, for all words a letter at a time."""
+        out = np.empty((len(words), len(self.languages)))
+        by_size: dict[int, list[int]] = {}
+        for n, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(n)
+        for size, rows in by_size.items():
+            for at in range(0, len(rows), BATCH_WORDS):
+                part = rows[at : at + BATCH_WORDS]
+                out[part] = [self.score(words[n]) for n in part] if size > LONG_WORD else self._forward(["▁" + words[n] for n in part])
+        return out
+
+    def _forward(self, marked: list[str]) -> np.ndarray:
+        """For words of one length: the piece of each span, then sums over the spans that end at each letter."""
+        size, longest, known = len(marked[0]), self.longest, self.numbers.get
+        spans = [(s, e) for e in range(1, size + 1) for s in range(max(0, e - longest), e)]
+        piece = np.array([known(m[s:e], -1) for m in marked for s, e in spans]).reshape(len(marked), -1)
+        #: a letter that is no piece is the unknown one; any other span that is none has no probability
+        single = np.array([e - s == 1 for s, e in spans])
+        piece[:, single] = np.where(piece[:, single] < 0, len(self.numbers), piece[:, single])
+        alpha = np.zeros((size + 1, len(marked), len(self.languages)))
+        alpha[0], shift, at = 1.0, np.zeros(len(marked)), 0
+        for e in range(1, size + 1):
+            low = max(0, e - longest)
+            alpha[e] = (alpha[low:e] * self.table[piece[:, at : at + e - low].T]).sum(0)
+            at += e - low
+            tiny = alpha[e].max(1) < 1e-100
+            if tiny.any():
+                alpha[low : e + 1, tiny] *= 1e100
+                shift[tiny] -= 100 * math.log(10)
+        return np.log(np.maximum(alpha[size], 1e-300)) + shift[:, None]
+
+
 def expected_counts(word: str, n: int, k: int, pieces: dict[str, tuple[float, ...]], longest: int, out: dict[str, float]) -> None:
     """Adds n times the expected count of each piece over all segmentations of a word."""
     marked = "▁" + word
@@ -188,20 +228,32 @@ class Scorer:
                 index = [places[w] for w in part]
             except KeyError:
                 if len(places) > REMEMBERED:
-                    places.clear()
-                for w in part:
-                    if w not in places:
-                        self._learn(w)
+                    #: those that came first are the frequent ones: they stay
+                    self.places = places = dict(islice(places.items(), REMEMBERED // 3))
+                self._learn([w for w in dict.fromkeys(part) if w not in places])
                 index = [places[w] for w in part]
             total += self.table[index].sum(0)
         best = int(np.argmax(total))
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
-    def _learn(self, word: str) -> None:
-        n = self.places[word] = len(self.places)
-        if n >= len(self.table):
+    def _learn(self, words: list[str]) -> None:
+        scores = self.model.score_many(words)
+        n = len(self.places)
+        while n + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = self.model.score(word)
+        self.table[n : n + len(words)] = scores
+        self.places.update(zip(words, range(n, n + len(words))))
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, known) -> Scorer:
+    """The scorer of a worker process, which serves all its tasks."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(Model(*known.value))
+    return _scorers[name]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -211,12 +263,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     has no language. Letters beyond the vocabulary cost the same in each language. Ties go to
     the first language in order. A column with a result's name is replaced."""
     known = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.prior))
-    scorers: list[Scorer] = []  # one for each task
+    name = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> dict:
-        if not scorers:
-            scorers.append(Scorer(Model(*known.value)))
-        got = [scorers[0](v.as_py()) for v in batch.column(batch.schema.get_field_index(text))]
+        scorer = _scorer(name, known)
+        got = [scorer(v.as_py()) for v in batch.column(batch.schema.get_field_index(text))]
         return {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())}
 
     return tx.with_results(docs, work, [("lang_pred", "string"), ("score", "double")])

@@ -161,6 +161,8 @@ def test_language_model():
     for word in ("a", "ab", "aab", "bab", "zb", "abababa"):
         assert np.isclose(model.score(word)[0], np.log(brute(word)))
     assert np.isfinite(model.score("q" * 500)[0])
+    some = ["a", "ab", "zb", "b" * 39, "q" * 30, "q" * 300, "abababa", "é"]
+    assert np.allclose(model.score_many(some)[:, 0], [model.score(w)[0] for w in some])
     counts = {}
     langid.expected_counts("ab", 2, 0, pieces, 2, counts)
     assert np.isclose(sum(len(p) * c for p, c in counts.items()), 2 * 3)
