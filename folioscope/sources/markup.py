@@ -66,7 +66,9 @@ def marc_fields(raw: DataFrame) -> DataFrame:
 
 _OPEN = re.compile(r"@([^{\s]*)[^{]*\{\s*([^,\s]*)")
 _FIELD = re.compile(r"\s*,?\s*([^\s=}{,]+)\s*=\s*")
-SKIP_MARK, SKIPPED_TYPES = "% lit:skip", ("comment", "preamble", "string")
+# The mark that leaves an entry out, and entry types that hold no record.
+SKIP_MARK = "% lit:skip"
+SKIPPED_TYPES = ("comment", "preamble", "string")
 
 
 def _value(text: str, at: int) -> tuple[str, int]:
