@@ -159,16 +159,17 @@ def posteriors(votes_: np.ndarray, rounds: int = ROUNDS, prior: float = 0.15) ->
 def train(index: list[np.ndarray], weight: list[np.ndarray], target: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by adaptive gradient steps over mini-batches."""
     w, g, bias, bias_g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3), 0.0, 1e-3
-    sizes = np.array([len(i) for i in index])
-    flat, value = (np.concatenate(index), np.concatenate(weight)) if len(index) else (np.zeros(0, np.int32), np.zeros(0))
     #: What only a few texts have, or what bad and fine ones have alike, says nothing of others.
     share = np.clip(target.mean() if len(target) else 0.5, 0.02, 0.98)
-    of = np.repeat(np.arange(len(index)), sizes)
-    times, bad = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, target[of] if len(target) else None, 1 << BITS)
+    times, bad = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS)
+    for own, p in zip(index, target):
+        np.add.at(times, own, 1)
+        np.add.at(bad, own, p)
     seen = (times >= LEAST_TEXTS) & (np.abs(bad - times * share) >= DEVIATIONS * np.sqrt(np.maximum(times, 1) * share * (1 - share)))
-    own = of[seen[flat]]
-    flat, value = flat[seen[flat]], value[seen[flat]]
-    sizes = np.bincount(own, minlength=len(index))
+    weight = [np.asarray(v)[seen[own]] for own, v in zip(index, weight)]
+    index = [own[seen[own]] for own in index]
+    sizes = np.array([len(i) for i in index], np.int64)
+    flat, value = (np.concatenate(index), np.concatenate(weight).astype(np.float64)) if len(index) else (np.zeros(0, np.int32), np.zeros(0))
     base = np.cumsum(sizes) - sizes
     weigh = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     dice = np.random.default_rng(7)
@@ -216,7 +217,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         measures, shape, said = describe(batch.column("text"))
         if batch.num_rows:
-            lists = [pa.array(x, pa.list_(t)) for x, t in ((list(measures), pa.float64()), (shape[0], pa.int32()), (shape[1], pa.float32()), (said[0], pa.int32()), (said[1], pa.float32()))]
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((list(measures), pa.float64()), (shape[0], pa.int32()), (shape[1], pa.float32()), (said[0], pa.int32()), ([x.astype(np.int8) for x in said[1]], pa.int8()))]
             yield pa.RecordBatch.from_arrays([*lists, batch.column("quality"), batch.column("toxic")], names=["measures", "si", "sw", "wi", "ww", "quality", "toxic"])
 
 
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUM
     if labels is None or not total:
         total = max(1, rows.count())
         sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1, limit / total))).select("text", none.alias("quality"), none.alias("toxic"))
-    got = sample.mapInArrow(_sampled, "measures array<double>, si array<int>, sw array<float>, wi array<int>, ww array<float>, quality int, toxic int").toArrow()
+    got = sample.mapInArrow(_sampled, "measures array<double>, si array<int>, sw array<float>, wi array<int>, ww array<tinyint>, quality int, toxic int").toArrow()
     measures = np.array(got["measures"].to_pylist()).reshape(-1, len(MEASURES))
     #: exact copies count once
     _, once = np.unique(measures, axis=0, return_index=True)
@@ -247,6 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUM
         label = np.where(label < 0, -1, 1 - label if flip else label).astype(np.int8)
         target, rates[name] = posteriors(np.column_stack([votes(measures, labellers), label]))
         models[name] = train(index, weight, target)
+        del index, weight
+    del got
+    pa.default_memory_pool().release_unused()
     return Classifier(models["junk"], models["toxic"], rates)
 
 
