@@ -1,0 +1,126 @@
+"""All pairs of texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
+
+Prefix filtering: when all sets are sorted by one order, two sets of that similarity share an
+element among the first n - ceil(0.8 n) + 1 of each. That holds for any order, so no pair is missed;
+the order only decides how many others meet. Shingles that a sample of texts shows to be frequent
+come last, the others go by their hash. Pairs that meet are checked against sizes and places, and
+those left are compared by their whole sets.
+
+Large groups of near copies are not compared pair by pair: first each text meets the least one of
+each shared shingle, then only texts that are not linked yet meet each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folioscope.llm import simhash
+from folioscope.llm import text as tx
+from folioscope.llm.storage import shared_folder
+
+SHINGLE = 5
+#: One of so many texts tells which shingles are frequent, from so many occurrences on.
+SAMPLE, OFTEN = 8, 8
+#: Frequent shingles that are remembered; they only shape the order.
+KNOWN = 1 << 18
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; texts of fewer words are one shingle."""
+    for a, b in tx.slices(offsets):
+        part = tx.LOWER[data[offsets[a] : offsets[b]]]
+        start, end, first = tx.word_bounds(part, offsets[a : b + 1] - offsets[a], tx.NOT_SPACE)
+        words = tx.word_hashes(part, start, end)
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield np.unique(tx.gram_hash(words[i:j], min(shingle, j - i)).view(np.int64)) if j > i else np.zeros(0, np.int64)
+
+
+def _each(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    return zip(batch.column("t").to_pylist(), _sets(*tx.buffers(batch.column("text")), shingle))
+
+
+def _all(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, s in _each(batch, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(s)], names=["key"])
+
+    return run
+
+
+def _prefixes(shingle: int, known):
+    """The first shingles of each text, with their places and the size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = known.value
+        for batch in batches:
+            for t, s in _each(batch, shingle):
+                n = len(s)
+                if len(late) and n:
+                    last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    s = np.concatenate([s[~last], s[last]])
+                s = s[: n - (4 * n + 4) // 5 + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), t, np.int64)), pa.array(np.full(len(s), n, np.int32)), pa.array(np.arange(len(s), dtype=np.int32))], names=["key", "t", "n", "place"])
+
+    return run
+
+
+def _arrays(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, s in _each(batch, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["t", "s"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = (np.frombuffer(v.as_py(), np.int64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _possible(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Whether sets of these sizes that share a shingle at these places can be alike enough."""
+    most = F.least(place, other) + 1 + F.least(n - place, m - other) - 1
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (most * 9 >= (n + m) * 4)
+
+
+def similar(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): links between the rows of texts (t, a number for each text; text) that lead to all
+    rows which pairs of similarity 0.8 or more connect. Rows with the same t are one text."""
+    shared_folder(texts.sparkSession)
+    sample = texts.where(F.pmod("t", F.lit(SAMPLE)) == 0).mapInArrow(_all(shingle), "key long")
+    often = sample.groupBy("key").agg(F.count("*").alias("k")).where(f"k >= {OFTEN}").orderBy(F.desc("k")).limit(KNOWN).select("key")
+    known = texts.sparkSession.sparkContext.broadcast(np.sort(often.toArrow()["key"].to_numpy().astype(np.int64)))
+    found = texts.mapInArrow(_prefixes(shingle, known), "key long, t long, n int, place int")
+    shared = found.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min(F.struct("t", "n", "place")).alias("one")).where("lo < hi").select("key", "one")
+    held = found.join(tx.splittable(shared), "key").distinct().checkpoint()
+    fits = _possible(F.col("n"), F.col("place"), F.col("one.n"), F.col("one.place"))
+    stars = _verified(texts, held.where(F.col("t") > F.col("one.t")).where(fits).select(F.col("t").alias("a"), F.col("one.t").alias("b")).distinct(), shingle)
+    roots = simhash.components(stars)
+    placed = held.drop("one").join(roots, held["t"] == roots["node"], "left").select("key", "t", "n", "place", F.coalesce("root", "t").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = placed.join(tx.splittable(open_), "key", "left_semi").checkpoint()
+    right = left.select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("top"))
+    pairs = left.join(right, "key").where("t > u and root <> top").where(_possible(F.col("n"), F.col("place"), F.col("m"), F.col("other")))
+    rest = _verified(texts, pairs.select(F.col("t").alias("a"), F.col("u").alias("b")).distinct(), shingle)
+    return stars.unionAll(rest)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) that are alike enough, written to the shared folder."""
+    pairs = pairs.checkpoint()
+    needed = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    sets = texts.join(needed, "t", "left_semi").mapInArrow(_arrays(shingle), "t long, s binary").dropDuplicates(["t"])
+    x, y = sets.select(F.col("t").alias("a"), F.col("s").alias("x")), sets.select(F.col("t").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long").checkpoint()
