@@ -223,11 +223,11 @@ def _tell(own: pa.Table, met: pa.Table) -> pa.Table:
 
 
 def number_rows(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
-    """rid: a number of its own for each row, also where ids repeat or are null. did: the order of
-    documents, null ids after all others. row: all columns but the text, if they are to be carried.
-    docs must be deterministic, as files or a checkpoint are."""
+    """rid: a hash of id and text, which is the same however the input is split when it is read again;
+    rows with the same id and text have the same rid and the same repeats. did: the order of
+    documents, null ids after all others. row: all columns but the text, if they are to be carried."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text] if carry else []
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *([F.struct(*rest).alias("rest")] if rest else [])).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    return docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("rid"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *([F.struct(*rest).alias("rest")] if rest else [])).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[list[dict]], list[list[dict]]], crowded: int = CROWDED) -> DataFrame:
@@ -246,11 +246,12 @@ def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[l
     classes = classes.join(tx.splittable(sizes), "h")
     alone = classes.where("members = 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"), F.col("first"), (F.col("copies") > 1).alias("again"))).alias("runs"))
     several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n"), F.ceil(F.col("members") / crowded).cast("int").alias("parts")).alias("class"), (F.col("members") > crowded).alias("crowd"))
-    #: These joins with texts and the caller's have all columns of rows, and so one exchange.
-    some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
+    #: These joins with texts and the caller's have all columns of rows, and so one exchange. Of rows
+    #: with one rid one stands for the class.
+    some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").dropDuplicates(["rid"]).select("classes", "text", "did", "row")
     areas = some.mapInArrow(_areas(units, False), "h long, c long, first long, copies long, left int, n int, area binary")
     examined = areas.repartition("h").sortWithinPartitions("h").mapInArrow(_examine(work), FOUND)
-    many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").select("classes", "text", "did", "row")
+    many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").dropDuplicates(["rid"]).select("classes", "text", "did", "row")
     each = many.mapInArrow(_areas(units, True), "h long, c long, first long, copies long, parts int, keys array<long>").withColumn("part", F.pmod("c", F.col("parts")).cast("int"))
     known = each.groupBy("h", "part").applyInArrow(_count_part, _COUNTS)
     met = known.groupBy("h", "bucket").applyInArrow(_meet, _COUNTS).select(F.col("h").alias("met_h"), F.col("part").alias("met_part"), "keys", "first", "times")

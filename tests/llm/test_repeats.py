@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from folioscope.llm import suffixes
 from folioscope.llm.phrases import dedup_phrases
+from folioscope.llm.repeats import number_rows
 from folioscope.llm.suffixes import dedup_substrings, two_stage_order
 
 SCHEMA = "doc_id long, text string, h string, rid int"
@@ -109,3 +110,24 @@ def test_whole_tables(spark, data):
     assert got == sorted((d, n, g, sha(k)) for d, n, g, k in brute_words(docs, 50))
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in q.op9_suffix_dedup(spark, data).collect())
     assert got == sorted((d, n, g, sha(k)) for d, n, g, k in brute_bytes(docs, 200))
+
+
+def test_rows_keep_their_numbers_when_split_anew(spark, tmp_path):
+    rows = fixture_rows(3)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    numbered = [{(r.row.doc_id, r.text): r.rid for r in number_rows(x, "doc_id", "text", False).collect()} for x in (docs, docs.repartition(3), docs.coalesce(1))]
+    assert numbered[0] == numbered[1] == numbered[2]
+
+
+@pytest.mark.parametrize("crowded", [1, 192])
+def test_equal_rows(spark, crowded, monkeypatch):
+    rows = [x for x in fixture_rows(4) for _ in range(2)]
+    monkeypatch.setattr(suffixes.repeated_runs, "__defaults__", (crowded,))
+    df = spark.createDataFrame([(*r, str(i), 1) for i, r in enumerate(rows)], SCHEMA)
+    got = dedup_substrings(df, length=20, gram=6)
+    assert ordered((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got.collect()) == ordered(brute_bytes(rows, 20))
+    got = dedup_phrases(df, words=8, gram=3)
+    assert ordered((r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in got.collect()) == ordered(brute_words(rows, 8))
+    carried = dedup_substrings(df, length=20, gram=6, carry=True)
+    assert sorted(int(r.rest.h) for r in carried.collect()) == list(range(len(rows)))
