@@ -44,6 +44,11 @@ def _end(pattern: str) -> str:
     return pattern.replace("$", r"\z")
 
 
+def trimmed(x: Column) -> Column:
+    """F.trim of one argument: handed to F.transform, F.trim itself would take places for what to trim."""
+    return F.trim(x)
+
+
 def detect_type(x: Column) -> Column:
     """one of arxiv, doi, isbn, dblp_url, semantic_scholar_url, philpapers_url, openlibrary_url, url, search."""
     kind = F.when(F.translate(x, "- ", "").rlike(_end(ISBN)), "isbn").when(x.isNotNull(), "search")
@@ -301,6 +306,11 @@ def is_malformed(key: Column, title: Column, author: Column, year: Column) -> Co
     return key.contains("=") | key.contains("http") | key.rlike("^[0-9]") | blank(title) | blank(author) | blank(year)
 
 
+def occurrences(x: Column, mark: str) -> Column:
+    """How often a mark is in a text, without overlaps; null has none."""
+    return F.coalesce(F.regexp_count(x, F.lit(rf"\Q{mark}\E")), F.lit(0))
+
+
 def is_placeholder(title: Column, doi: Column, arxiv_id: Column) -> Column:
     """P14"""
     return (title == "unknown") & doi.isNull() & arxiv_id.isNull()

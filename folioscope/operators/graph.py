@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 MOST_HOPS = 5
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Lineage of loops is cut in the folder the session names; a local session may have its own."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names, where lineage of loops is cut; a local session may have its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioscope-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

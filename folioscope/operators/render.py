@@ -79,11 +79,11 @@ def report_line(place: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Bytes in B, KB, MB or GB."""
+    """Bytes in B, KB, MB or GB; halves go to the even digit."""
     steps = [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]
     out = F.concat(n.cast("string"), F.lit(" B"))
     for size, unit in reversed(steps):
-        out = F.when(n >= size, F.format_string(f"%.1f {unit}", n / size)).otherwise(out)
+        out = F.when(n >= size, F.format_string(f"%.1f {unit}", F.bround(n / size, 1))).otherwise(out)
     return out
 
 

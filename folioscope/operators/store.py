@@ -73,6 +73,36 @@ def enrich(base: DataFrame, others: list[DataFrame], key: str, fields: list[str]
     return out.select(*[F.coalesce(*picks[c]).alias(c) if c in picks else F.col(c) for c in base.columns])
 
 
+def find(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The rows with a key; the comparison goes into the scan."""
+    return rows.where(F.col(column) == F.lit(value))
+
+
+def keyed(rows: DataFrame, column: str, prefix: str, name: str) -> DataFrame:
+    """The rows whose key has a prefix, and what comes after it."""
+    return rows.where(F.col(column).startswith(prefix)).withColumn(name, F.substring(column, len(prefix) + 1, (1 << 31) - 1))
+
+
+def marked(rows: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows, each with whether any other row has its key. Nothing is repeated, however many have."""
+    there = others.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_there", F.lit(True))
+    return rows.join(there, key, "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the place of each different value in the order of all. Values are dealt out by
+    range and numbered where they lie, so no task has them all; how many each range has is the only
+    thing that is summed up in one place."""
+    from folioscope.operators.graph import checkpoint_folder
+
+    checkpoint_folder(rows.sparkSession)
+    dealt = rows.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return dealt.join(F.broadcast(before), "_range").select(column, (F.col("_before") + own).alias(name))
+
+
 def set_local_path(papers: DataFrame, paths: DataFrame) -> DataFrame:
     """K5: (id, local_path) replace or, where null, clear."""
     p = paths.select("id", F.col("local_path").alias("_p"), F.lit(True).alias("_set"))

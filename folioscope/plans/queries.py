@@ -100,7 +100,7 @@ def node_ids(spark, d):
 
 @query(f"WITH {A.PAPERS} SELECT id, title, venue, year, citation_count FROM papers WHERE id = 42")
 def point_lookup(spark, d):
-    return A.papers(spark, d).where("id = 42").select("id", "title", "venue", "year", "citation_count")
+    return store.find(A.papers(spark, d), "id", 42).select("id", "title", "venue", "year", "citation_count")
 
 
 @query(f"WITH {A.PAPERS} SELECT id, title FROM papers WHERE title ILIKE '%red%' OR venue ILIKE '%brand#1_%'")
@@ -119,17 +119,15 @@ def paged_papers(spark, d):
     return store.paginate(A.papers(spark, d).select("id", "citation_count"), [F.desc_nulls_last("citation_count"), F.col("id")], 40, 20)
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE p_partkey % 7 <> 0), o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49)
-SELECT p_partkey AS id, EXISTS (SELECT 1 FROM o WHERE l_partkey = p_partkey) AS bulk FROM p""")
+@query("""WITH o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49) SELECT p_partkey AS id, EXISTS (SELECT 1 FROM o WHERE l_partkey = p_partkey) AS bulk FROM part""")
 def existence_probe(spark, d):
-    bulk = A.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).distinct().withColumn("bulk", F.lit(True))
-    p = A.table(spark, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("id"))
-    return p.join(bulk, F.col("id") == F.col("k"), "left").select("id", F.coalesce("bulk", F.lit(False)).alias("bulk"))
+    return store.marked(A.table(spark, d, "part").select(F.col("p_partkey").alias("id")), A.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("id")), "id", "bulk")
 
 
 @query("SELECT o_orderkey AS id, substr(o_orderpriority, 3) AS name FROM orders WHERE starts_with(o_orderpriority, '1-')")
 def key_prefix(spark, d):
-    return A.table(spark, d, "orders").where(F.col("o_orderpriority").startswith("1-")).select(F.col("o_orderkey").alias("id"), F.expr("substring(o_orderpriority, 3)").alias("name"))
+    orders = A.table(spark, d, "orders")
+    return store.keyed(orders, "o_orderpriority", "1-", "name").select(F.col("o_orderkey").alias("id"), "name")
 
 
 @query("""SELECT doc_id, CASE WHEN lower(text) LIKE '%book review%' OR lower(text) LIKE 'review of %' OR lower(text) LIKE '%reviews:%' THEN true ELSE false END AS review,
@@ -294,9 +292,9 @@ def node_id_rules(spark, d):
     return _inputs(spark, d).select("page_id", S.normalize_node_id(F.col("x")).alias("node"), F.replace(F.replace("x", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")).alias("spaced"))
 
 
-@query("SELECT doc_id, url_encode(left(text, 200)) AS encoded FROM documents")
+@query("SELECT doc_id, url_encode(text) AS encoded FROM documents")
 def url_encoding(spark, d):
-    return A.documents(spark, d).select("doc_id", S.url_encode(F.left("text", F.lit(200))).alias("encoded"))
+    return A.documents(spark, d).select("doc_id", S.url_encode(F.col("text")).alias("encoded"))
 
 
 _SKIPPED = "[" + ", ".join(f"'{w}'" for w in S.SKIP_WORDS) + "]"
@@ -311,12 +309,11 @@ def citation_keys(spark, d):
     return c.select(F.col("c_custkey").alias("id"), S.cite_key(authors, year, title).alias("cite_key"), S.directory_slug(authors, year, title).alias("slug"))
 
 
-@query(r"""SELECT doc_id, lower(regexp_replace(left(text, 500), '[^\p{L}\p{N}]', '', 'g')) AS title, lower(regexp_replace(left(text, 500), '[^\p{L}]', '', 'g')) AS author, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '...' END AS short,
+@query(r"""SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS title, lower(regexp_replace(text, '[^\p{L}]', '', 'g')) AS author, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '...' END AS short,
 nullif(regexp_extract(text, '[0-9]{4}'), '') AS year4 FROM documents""")
 def text_rules(spark, d):
     t = F.col("text")
-    head = F.left(t, F.lit(500))
-    return A.documents(spark, d).select("doc_id", S.normalize_title(head).alias("title"), S.normalize_author(head).alias("author"), S.truncate(t, 40).alias("short"), S.four_digits(t).alias("year4"))
+    return A.documents(spark, d).select("doc_id", S.normalize_title(t).alias("title"), S.normalize_author(t).alias("author"), S.truncate(t, 40).alias("short"), S.four_digits(t).alias("year4"))
 
 
 @query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', '''') AS plain FROM pages""")
@@ -324,12 +321,15 @@ def page_text(spark, d):
     return A.table(spark, d, "pages").select("page_id", S.plain_text(F.col("html")).alias("plain"))
 
 
-@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, lower(regexp_replace(a.p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS x, lower(regexp_replace(b.p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS y FROM part a JOIN part b ON a.p_partkey % 97 = b.p_partkey % 97 AND a.p_partkey < b.p_partkey)
-SELECT a, b, CAST(coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) - 1, least(length(x), length(y))) AS INTEGER) AS n FROM p""")
+@query("""WITH p AS (SELECT p_partkey AS a, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS x FROM part), q AS (SELECT a, x, lead(x) OVER (ORDER BY x, a) AS y FROM p)
+SELECT a, CAST(coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) - 1, least(length(x), length(y))) AS INTEGER) AS n FROM q WHERE y IS NOT NULL""")
 def common_prefixes(spark, d):
-    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("a"), S.normalize_title(F.col("p_name")).alias("x"), (F.col("p_partkey") % 97).alias("k"))
-    q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), "k")
-    return p.join(q, "k").where("a < b").select("a", "b", S.common_prefix_length(F.col("x"), F.col("y")).cast("int").alias("n"))
+    """Each part's name with the one after it in the order of names."""
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("a"), S.normalize_title(F.col("p_name")).alias("x"))
+    order = F.struct("x", "a")
+    places = p.withColumn("o", order).transform(lambda t: t.join(store.ranked(t, "o", "place"), "o"))
+    after = places.select((F.col("place") - 1).alias("place"), F.col("x").alias("y"))
+    return places.join(after, "place").select("a", S.common_prefix_length(F.col("x"), F.col("y")).cast("int").alias("n"))
 
 
 @query(r"""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%B %Y') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y%m%d') ELSE 'n.d.' END AS x, ts FROM events)
@@ -346,10 +346,10 @@ def date_rules(spark, d):
 def _results(spark, d):
     """documents as results of five sources, in order of id."""
     source = (F.col("doc_id") % 5).cast("int")
-    return A.documents(spark, d).select("doc_id", source.alias("source_ord"), F.col("doc_id").alias("pos"), F.left("text", F.lit(300)).alias("title"), F.array("source").alias("authors"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/A"), (F.col("doc_id") % 40).cast("string"))).alias("doi"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("citations"))
+    return A.documents(spark, d).select("doc_id", source.alias("source_ord"), F.col("doc_id").alias("pos"), F.col("text").alias("title"), F.array("source").alias("authors"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/A"), (F.col("doc_id") % 40).cast("string"))).alias("doi"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("citations"))
 
 
-_RESULTS = "results AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS source_ord, doc_id AS pos, left(text, 300) AS title, source, CASE WHEN doc_id % 3 = 0 THEN '10.1/A' || (doc_id % 40) END AS doi, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS citations FROM documents)"
+_RESULTS = "results AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS source_ord, doc_id AS pos, text AS title, source, CASE WHEN doc_id % 3 = 0 THEN '10.1/A' || (doc_id % 40) END AS doi, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS citations FROM documents)"
 
 
 def _score(words: list[str]) -> str:
@@ -429,33 +429,36 @@ def catalog_fallback(spark, d):
 
 
 def _entries(spark, d):
-    """Some parts as bibliography entries, all others as candidates."""
-    b = A.table(spark, d, "part").where("p_partkey % 20 = 0")
-    return b.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), F.lit("").alias("author"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"))
+    """All parts as bibliography entries; half of them name an author."""
+    b = A.table(spark, d, "part")
+    return b.select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "Lovelace").otherwise("").alias("author"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"))
 
 
 def _candidates(spark, d):
-    b = A.table(spark, d, "part").where("p_partkey % 20 <> 0")
-    return b.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"), F.array(F.lit("A B")).alias("authors"))
+    b = A.table(spark, d, "part")
+    return b.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type").alias("title"), (F.lit(1970) + F.col("p_size")).cast("string").alias("year"), F.array(F.when(F.col("p_partkey") % 3 == 0, "Ada Lovelace").otherwise("Grace Hopper")).alias("authors"))
 
 
 _NORM = "lower(regexp_replace(p_name || ' ' || p_type, '[^\\p{L}\\p{N}]', '', 'g'))"
-_MATCH = f"""WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS key, {_NORM} AS t, CAST(1970 + p_size AS VARCHAR) AS year FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS c_id, {_NORM} AS ct, CAST(1970 + p_size AS VARCHAR) AS c_year FROM part WHERE p_partkey % 20 <> 0),
-p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(t), length(ct)) + 1), lambda i: t[i] <> ct[i])) - 1, least(length(t), length(ct))) AS prefix FROM e, c WHERE left(t, 10) = left(ct, 10) AND length(t) >= 10 AND length(ct) >= 10),
-s AS (SELECT *, prefix >= 15 OR (prefix >= 10 AND prefix >= 0.8 * length(t)) AS close FROM p)"""
+#: All parts against all parts, by title classes: parts of one title have the same prefix with any other.
+_MATCH = f"""WITH x AS (SELECT p_partkey AS id, {_NORM} AS t, CAST(1970 + p_size AS VARCHAR) AS year, p_partkey % 2 = 0 AS named, p_partkey % 3 = 0 AS lovelace FROM part),
+e AS (SELECT DISTINCT t, year, named FROM x), c AS (SELECT t AS ct, year AS c_year, lovelace, min(id) AS c_id FROM x GROUP BY ALL),
+p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(t), length(ct)) + 1), lambda i: t[i] <> ct[i])) - 1, least(length(t), length(ct))) AS prefix FROM (SELECT DISTINCT e.t, c.ct FROM (SELECT DISTINCT t FROM e) e, (SELECT DISTINCT ct FROM c) c WHERE left(t, 10) = left(ct, 10) AND length(t) >= 10 AND length(ct) >= 10)),
+s AS (SELECT e.*, c.*, prefix, prefix >= 15 OR (prefix >= 10 AND prefix >= 0.8 * length(t)) AS close, NOT named OR lovelace AS author_ok FROM p JOIN e USING (t) JOIN c USING (ct))"""
 
 
-@query(f"{_MATCH}, r AS (SELECT key, c_id, CAST(prefix + CASE WHEN close AND year = c_year THEN 10 ELSE 0 END + CASE WHEN close THEN 15 ELSE 0 END AS INTEGER) AS score FROM s) SELECT key, arg_max(c_id, CAST(score AS BIGINT) * 1000000000 - c_id) AS c_id, max(score) AS score FROM r GROUP BY key HAVING max(score) >= 20")
+@query(f"""{_MATCH}, r AS (SELECT *, CAST(prefix + CASE WHEN close AND year = c_year THEN 10 ELSE 0 END + CASE WHEN close AND author_ok THEN 15 ELSE 0 END AS INTEGER) AS score FROM s),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY t, year, named ORDER BY score DESC, c_id) = 1) SELECT CAST(x.id AS VARCHAR) AS key, c_id, score FROM x JOIN b USING (t, year, named) WHERE (score >= 20 AND author_ok) OR score >= 35""")
 def fuzzy_best(spark, d):
     return linkage.best_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id", F.col("score").cast("int").alias("score"))
 
 
-@query(f"{_MATCH} SELECT key, min(c_id) AS c_id FROM s WHERE close GROUP BY key")
+@query(f"{_MATCH}, b AS (SELECT t, year, named, min(c_id) AS c_id FROM s WHERE close AND author_ok GROUP BY ALL) SELECT CAST(x.id AS VARCHAR) AS key, c_id FROM x JOIN b USING (t, year, named)")
 def fuzzy_first(spark, d):
     return linkage.first_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id")
 
 
-@query(f"""WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS key, {_NORM} AS t FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS c_id, {_NORM} AS ct FROM part WHERE p_partkey % 20 <> 0) SELECT key, min(c_id) AS c_id FROM e JOIN c ON left(t, least(20, length(t), length(ct))) = left(ct, least(20, length(t), length(ct))) WHERE length(t) > 0 AND length(ct) > 0 GROUP BY key""")
+@query(f"""WITH x AS (SELECT p_partkey AS id, {_NORM} AS t FROM part), c AS (SELECT t AS ct, min(id) AS c_id FROM x WHERE length(t) > 0 GROUP BY t), b AS (SELECT t, min(c_id) AS c_id FROM (SELECT DISTINCT t FROM x WHERE length(t) > 0) JOIN c ON left(t, least(20, length(t), length(ct))) = left(ct, least(20, length(t), length(ct))) GROUP BY t) SELECT CAST(id AS VARCHAR) AS key, c_id FROM x JOIN b USING (t)""")
 def book_prefix(spark, d):
     return linkage.book_match(_entries(spark, d), _candidates(spark, d)).select("key", "c_id")
 
@@ -483,16 +486,6 @@ def removable_keys(spark, d):
     return linkage.removable_keys(linkage.clean_report(bib, bib.where("pos % 2 <> 0").select("key")))
 
 
-@query("SELECT l_returnflag AS status, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY l_returnflag")
-def status_tallies(spark, d):
-    return A.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
-
-
-@query("SELECT count(*) AS n, min(epoch(ts))::BIGINT AS first, max(epoch(ts))::BIGINT AS last FROM events")
-def expiry_range(spark, d):
-    return A.table(spark, d, "events").agg(F.count("*").alias("n"), F.min(F.unix_timestamp("ts")).alias("first"), F.max(F.unix_timestamp("ts")).alias("last"))
-
-
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n FROM pages")
 def marker_counts(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p>")).alias("n"))
+    return A.table(spark, d, "pages").select("page_id", S.occurrences(F.col("html"), "<p>").alias("n"))

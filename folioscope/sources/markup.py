@@ -154,7 +154,7 @@ YAML_FIELDS = {"title": "title", "authors": "authors", "author": "authors", "yea
 
 def yaml_records(files: DataFrame, column: str = "value", path: str = "path") -> DataFrame:
     """A paper of each flat key-value file; the last of repeated keys counts, authors are split on " and "."""
-    lines = F.filter(F.transform(F.split(column, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & x.contains(":"))
+    lines = F.filter(F.transform(F.split(column, r"\r?\n"), S.trimmed), lambda x: (x != "") & ~x.startswith("#") & x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)\z", 1)).alias("v")))
     clean = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.when(p["v"].rlike(r'^".*"\z') & (F.length(p["v"]) > 1), F.regexp_extract(p["v"], r'^"(.*)"\z', 1)).otherwise(p["v"]).alias("v")))
     rows = files.select(F.col(path).alias("local_path"), clean.alias("p"))
@@ -163,7 +163,7 @@ def yaml_records(files: DataFrame, column: str = "value", path: str = "path") ->
         names = [k for k, f in YAML_FIELDS.items() if f == field]
         return F.try_element_at(F.filter("p", lambda x: x["k"].isin(*names)), F.lit(-1))["v"]
 
-    out = [F.coalesce(last("title"), F.lit("unknown")).alias("title"), F.coalesce(F.transform(F.split(last("authors"), " and "), F.trim), F.array().cast("array<string>")).alias("authors")]
+    out = [F.coalesce(last("title"), F.lit("unknown")).alias("title"), F.coalesce(F.transform(F.split(last("authors"), " and "), S.trimmed), F.array().cast("array<string>")).alias("authors")]
     return rows.select(*out, *[last(f).alias(f) for f in dict.fromkeys(YAML_FIELDS.values()) if f not in ("title", "authors")], "local_path")
 
 
@@ -210,7 +210,7 @@ def dump_papers(spark: SparkSession, path: str) -> DataFrame:
 
 def first_line_title(text: Column) -> Column:
     """The first trimmed line of more than 15 bytes."""
-    return F.try_element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.octet_length(x) > 15), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(text, "\n"), S.trimmed), lambda x: F.octet_length(x) > 15), F.lit(1))
 
 
 def preferred_text(files: DataFrame, folder: str = "folder") -> DataFrame:

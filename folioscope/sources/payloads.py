@@ -185,7 +185,7 @@ def philpapers_search(df: DataFrame) -> DataFrame:
     root = F.when(F.ltrim("body").startswith("["), F.col("body")).otherwise(F.get_json_object("body", "$.entries"))
 
     def fields(e: Column) -> dict[str, Column]:
-        listed = F.filter(F.transform(F.split(e["authorsStr"], ", "), F.trim), lambda a: a != "")
+        listed = F.filter(F.transform(F.split(e["authorsStr"], ", "), S.trimmed), lambda a: a != "")
         url = F.when(_or(e["eId"], "") != "", F.concat(F.lit("https://philpapers.org/rec/"), e["eId"]))
         return {"title": _or(e["title"], "N/A"), "year": F.coalesce(e["pubYear"], e["year"], F.lit("?")), "authors": F.coalesce(_names(e["authors"], S.invert_name), listed), "venue": F.coalesce(e["pub"], e["journal"]), "doi": e["doi"], "pdf_url": url}
 
@@ -215,8 +215,16 @@ SEARCH: dict[str, Callable[[DataFrame], DataFrame]] = {"oa": openalex_search, "s
 
 
 def extract_conflict_fields(df: DataFrame) -> DataFrame:
-    """(title, year, authors_text) of a body by its `source`, JSON or Atom."""
+    """(title, year, authors_text) of a body by its `source`, JSON or Atom. Names are given as the
+    service writes them, joined by commas."""
     pick = lambda paths: F.coalesce(*[F.get_json_object("body", p) for p in paths])
-    title = F.coalesce(pick(["$.title", "$.message.title[0]"]), F.trim(F.regexp_extract("body", r"(?s)<entry>.*?<title>(.*?)</title>", 1)))
-    year = F.coalesce(pick(["$.publication_year", "$.year", "$.message.published.date-parts[0][0]"]), F.nullif(F.regexp_extract("body", r"(?s)<entry>.*?<published>([0-9]{4})", 1), F.lit("")))
-    return df.select(*[c for c in df.columns if c != "body"], F.nullif(title, F.lit("")).alias("title"), year.alias("year"))
+    listed = lambda path, kind: F.from_json(F.get_json_object("body", path), f"array<{kind}>")
+    atom = F.nullif(F.regexp_extract("body", r"(?s)<entry[ >].*?</entry>", 0), F.lit(""))
+    title = F.coalesce(pick(["$.title", "$.message.title[0]"]), F.trim(F.regexp_extract(atom, r"(?s)<title[^>]*>(.*?)</title>", 1)))
+    year = F.coalesce(pick(["$.publication_year", "$.year", "$.message.published.date-parts[0][0]"]), F.nullif(F.regexp_extract(atom, r"(?s)<published>([0-9]{4})", 1), F.lit("")))
+    openalex = F.transform(listed("$.authorships", "struct<author:struct<display_name:string>>"), lambda a: a["author"]["display_name"])
+    scholar = F.transform(listed("$.authors", "struct<name:string>"), lambda a: a["name"])
+    crossref = F.transform(listed("$.message.author", "struct<given:string,family:string>"), lambda a: F.when(a["family"].isNotNull(), F.trim(F.concat(F.coalesce(a["given"], F.lit("")), F.lit(" "), a["family"]))))
+    feed = F.when(atom.isNotNull(), F.transform(F.regexp_extract_all(atom, F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), lambda n: F.trim(n)))
+    names = F.array_compact(F.coalesce(openalex, scholar, crossref, feed))
+    return df.select(*[c for c in df.columns if c != "body"], F.nullif(title, F.lit("")).alias("title"), year.alias("year"), F.nullif(F.array_join(names, ", "), F.lit("")).alias("authors_text"))

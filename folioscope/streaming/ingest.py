@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioscope.operators import store
 from folioscope.sources.markup import MARC, marc_fields
 from folioscope.sources.payloads import SEARCH
 
@@ -41,5 +42,4 @@ def ingest_dump(spark: SparkSession, folder: str, sink: str, ledger: str) -> Str
 
 def pending_files(listed: DataFrame, done: DataFrame) -> DataFrame:
     """Listed file names that no ledger row "file:<name>" marks as done."""
-    marks = done.where(F.col("key").startswith("file:")).select(F.expr("substring(key, 6)").alias("filename"))
-    return listed.join(marks, "filename", "left_anti")
+    return listed.join(store.keyed(done, "key", "file:", "filename").select("filename"), "filename", "left_anti")
