@@ -160,6 +160,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return span_hash(prefix_hash(byte_values(data)), start, end)
 
 
+def hash_limit(wanted: int, total: int) -> int:
+    """The largest 64-bit hash that a sample of about `wanted` of `total` rows takes."""
+    return (1 << 63) - 1 if wanted >= total else max(0, wanted) * (1 << 64) // max(1, total) - (1 << 63)
+
+
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """For each item the row that holds it, of offsets as `word_bounds` gives them."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
