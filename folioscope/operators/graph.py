@@ -59,7 +59,8 @@ def hops(edges: DataFrame, roots: DataFrame, direction: str = "refs", most: int
     The order that the cap follows is (level, node). A level is a join with the edges and an
     anti join with what is known; nothing but a count comes to the driver."""
     checkpoint_folder(edges.sparkSession)
-    steps = oriented(edges, direction).distinct()
+    #: Oriented once and written: each level reads it instead of making it again.
+    steps = oriented(edges, direction).distinct().checkpoint()
     known = roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("level")).distinct()
     frontier = known
     for level in range(1, most + 1):
@@ -82,7 +83,7 @@ def shortest_path(edges: DataFrame, start: object, end: object, most: int = MOST
     spark = edges.sparkSession
     checkpoint_folder(spark)
     kind = edges.schema["src"].dataType
-    steps = oriented(edges, "both").distinct()
+    steps = oriented(edges, "both").distinct().checkpoint()
     sides = [spark.range(1).select(F.lit(x).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("level")) for x in (start, end)]
     fronts = list(sides)
     meeting = None
@@ -99,13 +100,36 @@ def shortest_path(edges: DataFrame, start: object, end: object, most: int = MOST
         if fronts[k].isEmpty():
             break
         sides[k] = sides[k].unionAll(fronts[k])
-    nodes: list = []
-    if meeting is not None:
-        #: at most `most` lookups on each side
-        nodes = [meeting]
-        for k in (0, 1):
-            at = meeting
-            while (parent := sides[k].where(F.col("node") == F.lit(at)).select("parent").first()[0]) is not None:
-                nodes.insert(0, parent) if k == 0 else nodes.append(parent)
-                at = parent
-    return spark.createDataFrame(list(enumerate(nodes)), f"place int, node {kind.simpleString()}")
+    if meeting is None:
+        return spark.createDataFrame([], f"place int, node {kind.simpleString()}")
+    #: one row with the way back on both sides, as many joins with the levels as there were turns
+    way = spark.range(1).select(F.lit(meeting).cast(kind).alias("a0"), F.lit(meeting).cast(kind).alias("b0"))
+    for k, name in ((0, "a"), (1, "b")):
+        for n in range(turn // 2 + turn % 2 * (1 - k)):
+            way = way.join(sides[k].select(F.col("node").alias(f"{name}{n}"), F.col("parent").alias(f"{name}{n + 1}")), f"{name}{n}", "left")
+    row = way.first().asDict()
+    back = [[row[f"{c}{n}"] for n in range(1, len(row)) if row.get(f"{c}{n}") is not None] for c in "ab"]
+    return spark.createDataFrame(list(enumerate([*reversed(back[0]), meeting, *back[1]])), f"place int, node {kind.simpleString()}")
+
+
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, root): the least node that each node of the edges (a, b) can reach.
+
+    Stars: every node is hooked to the least neighbour (or itself), larger neighbours first, then
+    smaller ones, until the stars stop changing, which takes few rounds even for long chains. Every
+    round is written to the shared folder; the sums of a star combine before the shuffle."""
+    checkpoint_folder(edges.sparkSession)
+    dealt = lambda sums: sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
+    before = None
+    for _ in range(rounds):
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(dealt(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = large.join(dealt(lower), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+    raise RuntimeError("the components did not settle")

@@ -39,6 +39,11 @@ def arxiv_bibtex(arxiv_id: Column) -> Column:
     return F.when(F.col("venue").isNotNull(), _entry("inproceedings", _key(), [*head, _line("booktitle", F.col("venue")), *tail], ",\n}")).otherwise(_entry("article", _key(), [*head, *tail], ",\n}"))
 
 
+def preprint_bibtex(arxiv_id: Column) -> Column:
+    """Of a lookup, which names no venue."""
+    return _entry("article", _key(), [_line("title", F.col("title")), _line("author", _people()), _line("year", F.col("year")), _line("eprint", arxiv_id), _line("archivePrefix", F.lit("arXiv"))], ",\n}")
+
+
 def book_bibtex() -> Column:
     """One author, publisher and ISBN if known."""
     author = F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("Unknown"))

@@ -142,75 +142,111 @@ def parse_query(text: str) -> Query:
     return out
 
 
-def _occurrences(index: DataFrame, phrase: Query) -> DataFrame:
-    """(doc, part, place) where a phrase begins: each term's postings are shifted to the beginning of
-    the phrase, and places that have all of them stay."""
-    if not phrase.terms:
-        return index.limit(0).select("doc", "part", "place")
+def _tokens(columns: list[str]) -> Column:
+    """The tokens of each column, in one struct."""
+    return F.struct(*[fts_tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
+
+
+def _places(tokens: Column, phrase: Query) -> Column:
+    """Where a phrase begins among the tokens of one column, as an array."""
     n = len(phrase.terms)
-    test = [F.col("term") == t if not (phrase.prefix and i == n - 1) else F.col("term").startswith(t) for i, t in enumerate(phrase.terms)]
-    rows = index if phrase.part is None else index.where(F.col("part") == phrase.part)
-    if n == 1:
-        return rows.where(test[0]).select("doc", "part", "place")
-    hits = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(test)]))
-    each = rows.where(F.exists(F.array(*test), lambda t: t)).select("doc", "part", "place", F.explode(hits).alias("i"))
-    return each.groupBy("doc", "part", (F.col("place") - F.col("i")).alias("place")).agg(F.countDistinct("i").alias("k")).where(F.col("k") == n).select("doc", "part", "place")
-
-
-def _phrases(index: DataFrame, q: Query) -> list[tuple[DataFrame, DataFrame]]:
-    """For each phrase that counts for the score (not what a NOT excludes) where it is, and where it
-    counts: in a NEAR only beside the others."""
-    if q.kind == "phrase":
-        return [(found := _occurrences(index, q), found)]
-    if q.kind == "near":
-        rows = _near(index, q)
-        return [(_occurrences(index, p), rows.select("doc", "part", F.col(f"p{i}").alias("place")).distinct()) for i, p in enumerate(q.args)]
-    return [p for a in (q.args[:1] if q.kind == "not" else q.args) for p in _phrases(index, a)]
+    none = F.array().cast("array<int>")
+    if not n:
+        return none
+
+    def here(at: Column) -> Column:
+        out = F.lit(True)
+        for j, term in enumerate(phrase.terms):
+            token = F.get(tokens, at + j)
+            out = out & (token.startswith(term) if phrase.prefix and j == n - 1 else token == term)
+        return out
+
+    return F.when(F.size(tokens) >= n, F.filter(F.sequence(F.lit(0), F.size(tokens) - n), here)).otherwise(none)
+
+
+def _parts_of(phrase: Query, columns: list[str]) -> list[str]:
+    return [c for c in columns if phrase.part is None or c == phrase.part]
+
+
+def _anywhere(toks: Column, phrase: Query, columns: list[str]) -> Column:
+    out = F.lit(False)
+    for c in _parts_of(phrase, columns):
+        out = out | (F.size(_places(toks[c], phrase)) > 0)
+    return out
+
+
+def _beside(toks: Column, q: Query, i: int, column: str) -> Column:
+    """Places of the i-th phrase of a NEAR in a column that have places of all others so close that at
+    most `within` tokens lie between the end of the first and the start of the last."""
+    others = [j for j in range(len(q.args)) if j != i]
+    if any(column not in _parts_of(a, [column]) for a in q.args):
+        return F.array().cast("array<int>")
+
+    def close(left: list[int], starts: list[Column], ends: list[Column]) -> Column:
+        if not left:
+            return (F.greatest(*starts) - F.least(*ends) if len(starts) > 1 else F.lit(0)) <= q.within
+        size = len(q.args[left[0]].terms)
+        return F.exists(_places(toks[column], q.args[left[0]]), lambda p: close(left[1:], [*starts, p], [*ends, p + size]))
 
+    return F.filter(_places(toks[column], q.args[i]), lambda p: close(others, [p], [p + len(q.args[i].terms)]))
 
-def _matching(index: DataFrame, q: Query) -> DataFrame:
+
+def _matches(toks: Column, q: Query, columns: list[str]) -> Column:
+    """Whether a document matches, from its own tokens."""
     if q.kind == "phrase":
-        return _occurrences(index, q).select("doc").distinct()
+        return _anywhere(toks, q, columns)
     if q.kind == "near":
-        return _near(index, q).select("doc").distinct()
-    first, *rest = [_matching(index, a) for a in q.args]
+        out = F.lit(False)
+        for c in columns:
+            out = out | (F.size(_beside(toks, q, 0, c)) > 0)
+        return out
+    first, *rest = [_matches(toks, a, columns) for a in q.args]
     for r in rest:
-        first = {"and": lambda a, b: a.join(b, "doc", "left_semi"), "or": lambda a, b: a.unionAll(b).distinct(), "not": lambda a, b: a.join(b, "doc", "left_anti")}[q.kind](first, r)
+        first = {"and": lambda a, b: a & b, "or": lambda a, b: a | b, "not": lambda a, b: a & ~b}[q.kind](first, r)
     return first
 
 
-def _near(index: DataFrame, q: Query) -> DataFrame:
-    """Places p0, p1, ... of all phrases in one column, with at most `within` tokens between the end of
-    the first and the start of the last."""
-    out = None
-    for i, p in enumerate(q.args):
-        own = _occurrences(index, p).select("doc", "part", F.col("place").alias(f"p{i}"), (F.col("place") + len(p.terms)).alias(f"e{i}"))
-        out = own if out is None else out.join(own, ["doc", "part"])
-    starts, ends = [F.col(f"p{i}") for i in range(len(q.args))], [F.col(f"e{i}") for i in range(len(q.args))]
-    gap = starts[0] * 0 if len(q.args) == 1 else F.greatest(*starts) - F.least(*ends)
-    return out.where(gap <= q.within)
+def _counted(toks: Column, q: Query, columns: list[str]) -> list[tuple[Column, Column]]:
+    """For each phrase that counts for the score (not what a NOT excludes) whether it is anywhere, and
+    how often it counts: in a NEAR only beside the others."""
+    if q.kind == "phrase":
+        return [(_anywhere(toks, q, columns), sum((F.size(_places(toks[c], q)) for c in _parts_of(q, columns)), F.lit(0)))]
+    if q.kind == "near":
+        return [(_anywhere(toks, p, columns), sum((F.size(_beside(toks, q, i, c)) for c in columns), F.lit(0))) for i, p in enumerate(q.args)]
+    return [p for a in (q.args[:1] if q.kind == "not" else q.args) for p in _counted(toks, a, columns)]
+
+
+def matching(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """The documents that match, decided row by row; nothing is shuffled. ValueError for a query that
+    can't be parsed."""
+    parsed = parse_query(query)
+    #: bound by a function over one element, so that they are made once for a row, not for each use
+    return docs.where(F.transform(F.array(_tokens(columns)), lambda toks: _matches(toks, parsed, columns))[0])
 
 
 def bm25(docs: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame:
     """(doc, score) of the documents that match; smaller is better, as the usual table
     function of SQLite has it. All documents count for the statistics.
 
-    A phrase is one unit, with its own count and document frequency. The index is a DataFrame of
-    postings: only those of the query's terms are shuffled."""
+    A phrase is one unit, with its own count and document frequency. Each document's counts come from
+    its own tokens; they are written once to the shared folder, the sums of them are one row, and
+    no text and no posting is shuffled."""
+    from folioscope.operators.graph import checkpoint_folder
+
+    checkpoint_folder(docs.sparkSession)
     parsed = parse_query(query)
-    index = postings(docs, key, columns)
-    sizes = docs.select(F.col(key).alias("doc"), sum((F.size(fts_tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns), F.lit(0)).alias("dl"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scores = None
-    for anywhere, counted in _phrases(index, parsed):
-        counts = counted.groupBy("doc").agg(F.count("*").alias("tf"))
-        df = anywhere.agg(F.countDistinct("doc").alias("df"))
-        part = counts.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(whole)).join(sizes, "doc")
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        part = part.select("doc", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("s"))
-        scores = part if scores is None else scores.unionAll(part)
-    return scores.join(_matching(index, parsed), "doc", "left_semi").groupBy("doc").agg((-F.sum("s")).alias("score"))
+    rows = docs.select(F.col(key).alias("doc"), _tokens(columns).alias("toks"))
+    toks = F.col("toks")
+    phrases = _counted(toks, parsed, columns)
+    size = sum((F.size(toks[c]) for c in columns), F.lit(0))
+    counts = rows.select("doc", size.alias("dl"), _matches(toks, parsed, columns).alias("hit"), F.array(*[a for a, _ in phrases]).alias("has"), F.array(*[t for _, t in phrases]).alias("tf")).checkpoint()
+    whole = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("has")[i]).alias(f"df{i}") for i in range(len(phrases))])
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        tf = F.col("tf")[i]
+        score = score + F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return counts.where("hit").crossJoin(F.broadcast(whole)).select("doc", (-score).alias("score"))
 
 
 def search_local(docs: DataFrame, query: str, key: str, columns: list[str], limit: int, live: Column | None = None) -> DataFrame:
@@ -223,9 +259,9 @@ def search_catalog(docs: DataFrame, query: str, key: str, columns: list[str], li
     """Full-text matches in key order; a query that can't be parsed is looked for as a
     part of the `like` columns instead. No hits are no hits."""
     try:
-        hit = docs.join(_matching(postings(docs, key, columns), parse_query(query)), docs[key] == F.col("doc"), "left_semi")
+        hit = matching(docs, query, columns)
     except ValueError:
-        hit = docs.where(contains_any(like, query))
+        hit = docs.where(contains_ascii(like, query))
     return hit.orderBy(key).limit(limit)
 
 
@@ -237,6 +273,16 @@ def contains_any(columns: list[str], text: str) -> Column:
     return out
 
 
+def contains_ascii(columns: list[str], text: str) -> Column:
+    """P5: any column is like %text%, where only ASCII letters have no case; wildcards keep their meaning."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    own = "%" + text.translate(str.maketrans(upper, lower)) + "%"
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.translate(F.col(c), upper, lower).like(own), F.lit(False))
+    return out
+
+
 # -- results of several sources: (source_ord, pos, title, authors, doi, citations, ...) --------------
 
 

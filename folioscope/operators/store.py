@@ -138,20 +138,14 @@ def paginate(rows: DataFrame, order: list[Column], offset: int, size: int) -> Da
 
 
 def components(records: DataFrame, key: str = "seq", ids: tuple[str, ...] = UNIQUE) -> DataFrame:
-    """records with component: the least seq that shared identifiers lead to, by repeated minima over
-    an id's records and a record's ids."""
-    from folioscope.operators.graph import checkpoint_folder
+    """records with component: the least seq that shared identifiers lead to. Each identifier hooks its
+    records to the least of them; stars of those links settle in few rounds, however long a chain is."""
+    from folioscope.operators import graph
 
-    checkpoint_folder(records.sparkSession)
-    links = records.select(F.col(key).alias("r"), F.explode(F.array_compact(F.array(*[F.when(F.col(i).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(i))) for i in ids]))).alias("i")).distinct()
-    label = records.select(F.col(key).alias("r"), F.col(key).alias("c")).checkpoint()
-    while True:
-        by_id = links.join(label, "r").groupBy("i").agg(F.min("c").alias("m"))
-        new = links.join(by_id, "i").groupBy("r").agg(F.min("m").alias("m"))
-        nxt = label.join(new, "r", "left").select("r", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")).checkpoint()
-        if nxt.where("moved").isEmpty():
-            return records.join(nxt.select(F.col("r").alias(key), F.col("c").alias("component")), key)
-        label = nxt.select("r", "c")
+    links = records.select(F.col(key).alias("a"), F.explode(F.array_compact(F.array(*[F.when(F.col(i).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(i))) for i in ids]))).alias("i"))
+    hooks = links.join(links.groupBy("i").agg(F.min("a").alias("b")), "i").select("a", "b")
+    roots = graph.components(hooks).select(F.col("node").alias(key), "root")
+    return records.join(roots, key, "left").withColumn("component", F.coalesce("root", F.col(key))).drop("root")
 
 
 def fold(rows: list[dict]) -> tuple[list[dict], list[dict]]:
@@ -159,16 +153,19 @@ def fold(rows: list[dict]) -> tuple[list[dict], list[dict]]:
 
     A record is looked for by doi, then arXiv id, then ISBN among live rows. Found: title and authors
     are overwritten, most fields set where the record has a value, s2_id and openalex_id kept.
-    An update or insert that repeats an id of another row, also of a deleted one, is rejected."""
+    An update or insert that repeats an id of another row, also of a deleted one, is rejected.
+    An id is of one row at most, so a table by id finds it at once."""
     stored: list[dict] = []
     rejected: list[dict] = []
+    by_id: dict[str, dict] = {u: {} for u in UNIQUE}
     for r in rows:
         new = dict(r)
         new["title"] = (r.get("title") or "")[:TITLE_CHARS]
         year = (r.get("year") or "").strip()
         new["year"] = year if len(year) == 4 and year.isascii() and year.isdigit() else None
         new["entry_type"] = (r.get("entry_type") or "").lower() or None
-        own = next((s for p in PROBES if new.get(p) is not None for s in stored if s.get("deleted_at") is None and s.get(p) == new[p]), None)
+        found = (by_id[p].get(new[p]) for p in PROBES if new.get(p) is not None)
+        own = next((s for s in found if s is not None and s.get("deleted_at") is None), None)
         if own is None:
             result = new
         else:
@@ -181,12 +178,18 @@ def fold(rows: list[dict]) -> tuple[list[dict], list[dict]]:
             for f in ("s2_id", "openalex_id"):
                 if result.get(f) is None:
                     result[f] = new.get(f)
-        if any(result.get(u) is not None and s is not own and s.get(u) == result[u] for u in UNIQUE for s in stored):
+        if any(by_id[u].get(result[u], own) is not own for u in UNIQUE if result.get(u) is not None):
             rejected.append(r)
-        elif own is None:
-            stored.append(result)
+            continue
+        if own is None:
+            stored.append(own := result)
         else:
+            for u in UNIQUE:
+                by_id[u].pop(own.get(u), None)
             own.update(result)
+        for u in UNIQUE:
+            if own.get(u) is not None:
+                by_id[u][own[u]] = own
     return stored, rejected
 
 

@@ -72,9 +72,14 @@ def graph_hops_both(spark, d):
 
 @query(f"""WITH RECURSIVE {A.CITATIONS}, steps AS (SELECT src AS a, dst AS b FROM citations UNION SELECT dst, src FROM citations),
 walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT b, level + 1 FROM walk JOIN steps ON node = a WHERE level < 4)
-SELECT min(level) AS hops FROM walk WHERE node = 77""")
+SELECT min(level) AS hops, min(level) AS edges FROM walk WHERE node = 77""")
 def graph_path_length(spark, d):
-    return graph.shortest_path(A.citations(spark, d), 1, 77).agg((F.count("*") - 1).cast("int").alias("hops"))
+    """The length of a shortest path, and how many of its steps are edges: all."""
+    both = graph.oriented(A.citations(spark, d), "both").distinct()
+    path = graph.shortest_path(A.citations(spark, d), 1, 77)
+    after = path.select((F.col("place") - 1).alias("place"), F.col("node").alias("next"))
+    steps = path.join(after, "place").join(both, (F.col("node") == F.col("a")) & (F.col("next") == F.col("b")), "left")
+    return steps.agg(F.count("*").cast("int").alias("hops"), F.count("a").cast("int").alias("edges"))
 
 
 @query(f"""{_EDGES}, both_ways AS (SELECT src AS a, dst AS b FROM citations UNION ALL SELECT dst, src FROM citations) SELECT a AS node, count(*) AS edges, count(DISTINCT b) AS neighbours FROM both_ways GROUP BY a""")
@@ -256,14 +261,15 @@ def layered_settings(spark, d):
     return store.layered([n.groupBy("k").agg(F.min("v").alias("v")), top, top.withColumn("v", F.lit(None).cast("string"))], "k", "v")
 
 
-@query()
+@query("""SELECT min(event_id) AS seq, arg_max(event_type, event_id) AS title, '10.1/' || user_id AS doi, max(CASE WHEN event_id % 3 = 0 THEN 'a' || (user_id % 5000) END) AS arxiv_id, '2020' AS year, 'article' AS entry_type, arg_max(CAST(floor(value) AS BIGINT), event_id) FILTER (value IS NOT NULL) AS citation_count, false AS rejected FROM events WHERE event_id IS NOT NULL GROUP BY user_id""")
 def upsert_fold(spark, d):
-    """K1 over the claims of the events table as records: ids are shared in many ways."""
+    """K1 over the events as records: those of a user share a DOI, and some an arXiv id, so the last of a
+    user names the title and the first one's number stays."""
     e = A.table(spark, d, "events").where("event_id is not null")
     text = lambda c, m: F.when(F.col("event_id") % m == 0, F.concat(F.lit(c), (F.col("user_id") % 5000).cast("string")))
     null = lambda: F.lit(None).cast("string")
     records = e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("title"), F.array(F.lit("A B")).alias("authors"), F.lit("2020").alias("year"), F.concat(F.lit("10.1/"), F.col("user_id").cast("string")).alias("doi"), text("a", 3).alias("arxiv_id"), null().alias("isbn"), null().alias("s2_id"), null().alias("openalex_id"), F.lit("Article").alias("entry_type"), F.floor("value").alias("citation_count"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    return store.upsert(records)
+    return store.upsert(records).select("seq", "title", "doi", "arxiv_id", "year", "entry_type", F.col("citation_count").cast("bigint").alias("citation_count"), "rejected")
 
 
 # -- scalar rules ----------------------------------------------------------------------------------------
@@ -407,22 +413,42 @@ def fts_without(spark, d):
 
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(' ' || array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ' ') || ' ', ' of the ')""")
 def fts_phrase(spark, d):
-    return search._matching(search.postings(A.documents(spark, d), "doc_id", ["text"]), search.parse_query('"of the"')).select(F.col("doc").alias("doc_id"))
+    return search.matching(A.documents(spark, d), '"of the"', ["text"]).select("doc_id")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: starts_with(t, 'entionth'))) > 0""")
 def fts_prefix(spark, d):
-    return search._matching(search.postings(A.documents(spark, d), "doc_id", ["text"]), search.parse_query("entionth*")).select(F.col("doc").alias("doc_id"))
+    return search.matching(A.documents(spark, d), "entionth*", ["text"]).select("doc_id")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(strip_accents(lower(source)), '[^\p{L}\p{N}]+'), 'src3') AND list_contains(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), 'the')""")
 def fts_column(spark, d):
-    return search._matching(search.postings(A.documents(spark, d), "doc_id", ["text", "source"]), search.parse_query("source: src3 AND text: the")).select(F.col("doc").alias("doc_id"))
+    return search.matching(A.documents(spark, d), "source: src3 AND text: the", ["text", "source"]).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE text ILIKE '%a-b?%' OR source ILIKE '%a-b?%' ORDER BY doc_id LIMIT 20")
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_ASCII.format('text')} LIKE '%license, ver%' OR {_ASCII.format('source')} LIKE '%license, ver%' ORDER BY doc_id LIMIT 20")
 def catalog_fallback(spark, d):
-    return search.search_catalog(A.documents(spark, d), "a-b?", "doc_id", ["text", "source"], ["text", "source"], 20).select("doc_id")
+    """A comma is no part of a query, so this one is looked for as it is."""
+    return search.search_catalog(A.documents(spark, d), "LICENSE, ver", "doc_id", ["text", "source"], ["text", "source"], 20).select("doc_id")
+
+
+@query(_bm25_sql(["thing", "shand"], "d0.tf > 0 AND d1.tf > 0 AND s.doc_id % 7 <> 0").replace("shand", "and") + " ORDER BY score, doc LIMIT 15")
+def fts_best_live(spark, d):
+    """The best live documents; deleted ones count for the statistics."""
+    docs = A.documents(spark, d).select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, F.current_timestamp()).alias("deleted_at"))
+    return search.search_local(docs, "thing and", "doc_id", ["text"], 15, F.col("deleted_at").isNull()).select(F.col("doc_id").alias("doc"), F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(CASE WHEN doc_id % 3 = 0 THEN source || ' new' ELSE text END)), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id % 5 <> 0) SELECT doc_id AS doc, len(w) AS terms, len(list_distinct(w)) AS different FROM t WHERE len(w) > 0""".replace("\\\\", "\\"))
+def index_upkeep(spark, d):
+    """An index in which a third of the documents are changed and a fifth removed."""
+    docs = A.documents(spark, d).select("doc_id", "text", "source")
+    changed = docs.where("doc_id % 3 = 0 and doc_id % 5 <> 0").select("doc_id", F.concat("source", F.lit(" new")).alias("text"))
+    index = search.maintain_postings(search.postings(docs, "doc_id", ["text"]), changed, docs.where("doc_id % 5 = 0"), "doc_id", ["text"])
+    return index.groupBy("doc").agg(F.count("*").alias("terms"), F.countDistinct("term").alias("different"))
 
 
 # -- linkage -------------------------------------------------------------------------------------------------

@@ -510,10 +510,10 @@ def _bodies(spark, d) -> DataFrame:
     """Captured bodies by (source, ref) for lookups."""
     p = _parts(spark, d)
     body = lambda source, ref, value: p.select(L(source).alias("source"), ref.alias("ref"), value.alias("body"))
-    return body("arxiv", _arxiv(), _atom()).unionAll(body("ss_paper", _arxiv(), F.to_json(_scholar(venue=F.col("brand"))))).unionAll(body("cr_doi", C(L("10.5555/"), "k"), _json(message=_crossref()))).unionAll(body("oa_doi", C(L("10.5555/"), "k"), _json(cited_by_count=F.col("id"), open_access=_s(oa_url=C(L("http://o/"), "k"))))).unionAll(body("isbn", C(L("978"), F.lpad("k", 10, "0")), _keyed()))
+    return body("arxiv", _arxiv(), _atom()).unionAll(body("ss_paper", _arxiv(), F.to_json(_scholar(venue=F.col("brand"))))).unionAll(body("cr_doi", C(L("10.5555/"), "k"), _json(message=_crossref()))).unionAll(body("oa_doi", C(L("10.5555/"), "k"), _json(cited_by_count=F.col("id"), open_access=_s(oa_url=C(L("http://o/"), "k"))))).unionAll(body("cr_bibtex", C(L("10.5555/"), "k"), C(L("@inproceedings{cr"), F.col("y").cast("string"), L(", title={T}}")))).unionAll(body("isbn", C(L("978"), F.lpad("k", 10, "0")), _keyed()))
 
 
-@query(f"""WITH {_P} SELECT {_ARXIV} AS ref, name || ' ' || kind AS title, brand AS venue, k AS citations, '@inproceedings{{lovelace' || y || 'x' AS head FROM p WHERE id = 7 UNION ALL SELECT '10.5555/' || k, name, kind, k, '@inproceedings{{' || 'brand' || y || 'x' FROM p WHERE id = 8 UNION ALL SELECT '978' || lpad(k, 10, '0'), CASE WHEN id % 2 = 0 THEN name || ': ' || kind ELSE name END, 'Press ' || k, NULL, '@book{{lovelace' || y || 'x' FROM p WHERE id = 9""")
+@query(f"""WITH {_P} SELECT {_ARXIV} AS ref, name || ' ' || kind AS title, brand AS venue, k AS citations, '@article{{lovelace' || y || 'x' AS head FROM p WHERE id = 7 UNION ALL SELECT '10.5555/' || k, name, kind, k, '@inproceedings{{cr' || y || 'x' FROM p WHERE id = 8 UNION ALL SELECT '978' || lpad(k, 10, '0'), CASE WHEN id % 2 = 0 THEN name || ': ' || kind ELSE name END, 'Press ' || k, NULL, '@book{{lovelace' || y || 'x' FROM p WHERE id = 9""")
 def looked_up(spark, d):
     bodies = _bodies(spark, d)
     out = None

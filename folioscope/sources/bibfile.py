@@ -10,6 +10,13 @@ def keys(text: str) -> list[str]:
     return [key for _, key, *_ in bib_entries(text)]
 
 
+def renamed(entry: str, key: str) -> str:
+    """the entry under another key; what is no entry stays as it is."""
+    brace = entry.find("{")
+    ends = [at for at in (entry.find(",", brace), entry.find("\n", brace)) if at > brace]
+    return entry[: brace + 1] + key + entry[min(ends) :] if brace >= 0 and ends else entry
+
+
 def append(text: str, entry: str) -> str:
     """A blank line lies between entries."""
     return (text.rstrip("\n") + "\n\n" if text.strip() else "") + entry.strip("\n") + "\n"

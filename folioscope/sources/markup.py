@@ -215,9 +215,9 @@ def first_line_title(text: Column) -> Column:
 
 def preferred_text(files: DataFrame, folder: str = "folder") -> DataFrame:
     """Of each folder's files (name, value) the main .tex, else a text, else a PDF: a priority, and
-    the least of it."""
+    the least of it. LaTeX files of which none is the main one are no text."""
     tex = F.col("name").endswith(".tex")
-    rank = F.when(tex & F.col("value").contains("\\documentclass"), 0).when(tex & F.col("name").rlike(r"(^|/)(main|paper)\.tex\z"), 1).when(tex, 2).when(F.col("name").endswith("paper.txt") & (F.trim("value") != ""), 3).when(F.col("name").endswith("paper.pdf"), 4)
+    rank = F.when(tex & F.col("value").contains("\\documentclass"), 0).when(tex & F.col("name").rlike(r"(^|/)(main|paper)\.tex\z"), 1).when(F.col("name").endswith("paper.txt") & (F.trim("value") != ""), 3).when(F.col("name").endswith("paper.pdf"), 4)
     return files.withColumn("rank", rank).where("rank is not null").groupBy(folder).agg(F.min_by(F.struct("name", "value"), F.struct("rank", "name")).alias("f")).select(folder, "f.name")
 
 

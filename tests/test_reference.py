@@ -137,6 +137,8 @@ def test_query_errors(spark):
             search.parse_query(text)
     df = spark.createDataFrame([(1, "has a-b inside"), (2, "none")], "id int, t string")
     assert ids(search.search_catalog(df, "a-b", "id", ["t"], ["t"], 5)) == [1]
+    cased = spark.createDataFrame([(1, "É-A"), (2, "é-a"), (3, "x")], "id int, t string")
+    assert ids(search.search_catalog(cased, "é-A", "id", ["t"], ["t"], 5)) == [2]
     assert ids(search.search_local(df.withColumn("deleted_at", F.lit(None)), "inside OR none", "id", ["t"], 5, F.col("deleted_at").isNull())) == [2, 1]
 
 
@@ -254,8 +256,50 @@ def test_search_commands(spark):
     assert [r.title for r in commands.search_payloads(df, "attention", "ss").collect()] == ["unrelated"]
     atom = spark.createDataFrame([("arxiv", "2006.11239", ATOM.format("s")), ("ss_paper", "2006.11239", json.dumps({"paperId": "p", "venue": "NeurIPS", "citationCount": 3}))], "source string, ref string, body string")
     r = commands.lookup(atom, "https://arxiv.org/abs/2006.11239").first()
-    assert (r.venue, r.citations, r.s2_id) == ("NeurIPS", "3", "p") and r.bibtex.startswith("@inproceedings{ho2020denoising,\n  title = {Denoising Models},")
+    assert (r.venue, r.citations, r.s2_id) == ("NeurIPS", "3", "p") and r.bibtex.startswith("@article{ho2020denoising,\n  title = {Denoising Models},")
     assert commands.lookup(atom, "words").count() == 0
+    key, text = commands.add("", atom, "2006.11239")
+    assert key == "ho2020denoising" and text.startswith("@inproceedings{ho2020denoising,") and "booktitle = {NeurIPS}" in text
+    assert commands.add(text, atom, "2006.11239", "mine")[1].count("@inproceedings") == 2
+    with pytest.raises(ValueError):
+        commands.add("", atom, "words")
+    key, text = commands.misc("", "k", "T", ["A B", "C D"], "2001", note="n")
+    assert (key, text) == ("k", "@misc{k,\n  title = {T},\n  author = {A B and C D},\n  year = {2001},\n  note = {n},\n}\n")
+    assert commands.remove(text, "k") == (True, "") and commands.remove(text, "other") == (False, text)
+    pages = [("dblp_bib", "https://dblp.org/rec/1", "@article{x, title={Y}}"), ("pp_bib", "E-1", "@article{x, title={Y}, author={B, A}, year={2001}}"), ("page", "https://x.org/p", "<html><TITLE> Denoising &amp; more </TITLE>"), ("ss", "Denoising & more", json.dumps({"data": [{"title": "Denoising more", "externalIds": {"ArXiv": "2006.11239"}}]})), ("page", "https://x.org/q", "<p>none</p>")]
+    more = atom.unionAll(spark.createDataFrame(pages, "source string, ref string, body string"))
+    titles = {i: [x.title for x in commands.lookup(more, i).collect()] for i in ("https://dblp.org/rec/1.bib", "https://philpapers.org/rec/E-1", "https://x.org/p", "https://x.org/q")}
+    assert titles == {"https://dblp.org/rec/1.bib": ["https://dblp.org/rec/1.bib"], "https://philpapers.org/rec/E-1": ["Y"], "https://x.org/p": ["Denoising Models"], "https://x.org/q": []}
+
+
+def test_store_commands(spark, tmp_path):
+    folders = spark.createDataFrame([("b", "title: Second\ndoi: 10.1/x"), ("a", "title: First\ndoi: 10.1/x"), ("c", "authors: X")], "path string, value string")
+    where = str(tmp_path / "store")
+    for _ in range(2):
+        assert commands.rebuild_store(folders, where) == 1
+    assert spark.read.parquet(where).first().title == spark.read.parquet(where + ".bak").first().title == "Second"
+    with pytest.raises(ValueError):
+        commands.rebuild_store(folders.limit(0), where)
+    record = spark.createDataFrame([("Third", ["A"], "2001", "10.1/x", None, 3, None, None, None, None, None, None, [])], ", ".join(f"{k} {v}" for k, v in payloads.RECORD.items()))
+    assert [(r.title, r.year, r.citation_count) for r in commands.keep(spark.read.parquet(where), record).collect()] == [("Third", "2001", 3)]
+    report = spark.createDataFrame([("malformed", "9", None), ("duplicate", "b", "a"), ("orphan", "c", None)], "kind string, key string, kept_key string")
+    lines = lambda *a: [r.line for r in commands.clean_summary(*a).collect()]
+    assert lines(report) == ["Malformed (1):", "  9", "Duplicates (1):", "  keep:a remove:b", "Orphans (1):", "  c", "Dry run: 3 issues found. Pass --apply to remove malformed + duplicate entries."]
+    assert lines(report, False, True)[-3:] == ["Removed 2 entries:", "  9", "  b"]
+    assert lines(report.limit(0)) == ["No issues found."]
+    names = spark.createDataFrame([("p.1", ""), ("p.2", "")], "name string, content string")
+    files = spark.createDataFrame([("p.1", "main.tex", ""), ("p.1", "a.tex", ""), ("p.2", "x.tex", ""), ("p.2", "paper.pdf", "")], "folder string, name string, value string")
+    shown = lambda asked: [(r.name, r.matches, r.file, r.kind, r.extra) for r in commands.read(names, files, asked).orderBy("name").collect()]
+    assert shown("p.1") == [("p.1", 1, "main.tex", "tex", ["a.tex", "main.tex"])] and shown("p.2") == [("p.2", 1, "paper.pdf", "txt (generated from PDF)", [])]
+    assert [r[1:3] for r in shown("p")] == [(2, None)] * 2
+    (tmp_path / "in").mkdir()
+    with gzip.open(tmp_path / "in" / "a.xml.gz", "wt") as f:
+        f.write('<collection><record><datafield tag="245" ind1="1" ind2="0"><subfield code="a">T</subfield></datafield></record></collection>')
+    index = spark.createDataFrame([('<a href="/x/a.xml.gz">a</a><a href="b.xml.gz">',)], "html string")
+    for _ in range(2):
+        got = commands.catalog_sync(spark, index, *(str(tmp_path / n) for n in ("in", "sink", "ledger")))
+    assert {(r.filename, r.here) for r in got.collect()} == {("a.xml.gz", True), ("b.xml.gz", False)}
+    assert [r.title for r in spark.read.parquet(str(tmp_path / "sink")).collect()] == ["T"]
 
 
 def test_store(spark):
