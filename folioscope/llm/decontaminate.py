@@ -2,8 +2,8 @@
 
 Both sides keep the k-gram of least hash in every window of consecutive words (winnowing), so
 any shared run of WINDOW words has a kept k-gram in common. Fingerprints of documents are
-joined with those of the items, and each hit is extended word by word to the whole shared
-run; runs of WINDOW words or more are hits. Items of fewer words than a window have their
+joined with those of the items, and each hit is extended to all windows of words around it
+that an item has too; together they are the shared runs. Items of fewer words than a window have their
 whole word sequence as the fingerprint, looked up at every position.
 
 Items are compiled into tables of at most `block_bytes` of text. One such table, whose size is
@@ -28,82 +28,92 @@ RESULT = [("n_words", "long"), ("n_hit", "long"), ("hit_items", "array<string>")
 
 
 def winnow(words: np.ndarray, starts: np.ndarray, window: int, k: int) -> np.ndarray:
-    """Positions of the kept k-grams: the least hash, leftmost on ties, of each run of `window`
-    words that stays in one text. starts: first word of each text, and the end."""
+    """Positions of the kept k-grams: the least hash (by its upper half), leftmost on ties, of each run
+    of `window` words that stays in one text. starts: first word of each text, and the end."""
     grams = tx.gram_hash(words, k)
     if len(words) < window:
         return np.zeros(0, np.int64)
-    keys = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-    least = tx.sliding_least(keys, window - k + 1)
-    inside = np.zeros(len(words) + 1, np.int32)
-    lengths = np.diff(starts)
-    long = lengths >= window
+    least = tx.sliding_least(tx.placed(grams), window - k + 1)
+    ok = window_starts(starts, window, len(words))[: len(least)]
+    return np.unique((least[ok] & tx.PLACE).astype(np.int64))
+
+
+def window_starts(starts: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Whether each word begins a run of `window` words that stays in one text."""
+    inside = np.zeros(n + 1, np.int32)
+    long = np.diff(starts) >= window
     np.add.at(inside, starts[:-1][long], 1)
     np.add.at(inside, starts[1:][long] - window + 1, -1)
-    ok = np.cumsum(inside)[: len(least)] > 0
-    return np.unique((least[ok] & np.uint64(0xFFFFFF)).astype(np.int64))
+    return np.cumsum(inside)[:n] > 0
 
 
 class Items:
-    """The items of one block: their words, and where each fingerprint occurs."""
+    """The items of one block: the fingerprints that they keep, and their windows by hash."""
 
     def __init__(self, rows: list[tuple[str, str]], window: int, k: int) -> None:
         self.window, self.k, self.names = window, k, [n for n, _ in rows]
         data, offsets = tx.buffers(pa.array([t for _, t in rows], pa.string()))
-        data = tx.LOWER[data]
-        start, end, first = tx.word_bounds(data, offsets, tx.ALNUM)
-        self.words, self.first, self.owner = tx.word_hashes(data, start, end), first, tx.rows_of(first)
-        self.raw = [bytes(data[a:b]) for a, b in zip(start, end)]
-        grams = tx.gram_hash(self.words, k)
-        at = winnow(self.words, first, window, k)
-        order = np.argsort(grams[at], kind="stable")
-        self.at, self.prints = at[order], grams[at][order]
-        #: Length of the short items -> their sorted hashes, and hash -> items.
-        self.short: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        self.data = tx.LOWER[data]
+        self.start, self.end, first = tx.word_bounds(self.data, offsets, tx.ALNUM)
+        words, owner = tx.word_hashes(self.data, self.start, self.end), tx.rows_of(first)
+        self.words = words
+        self.prints = np.unique(tx.gram_hash(words, k)[winnow(words, first, window, k)])
+        #: Length of windows -> their hashes in order, with place and item; of equal windows of an item one.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.diff(first)
-        for n in sorted({int(x) for x in lengths if 0 < x < window}):
-            found: dict[int, list[int]] = defaultdict(list)
-            for item in np.flatnonzero(lengths == n):
-                found[int(tx.gram_hash(self.words[first[item] : first[item + 1]], n)[0])].append(int(item))
-            self.short[n] = np.array(sorted(found), np.uint64), dict(found)
+        for n in sorted({min(window, int(x)) for x in lengths if x}):
+            own = np.flatnonzero(window_starts(first, n, len(words)))
+            own = own[(lengths[owner[own]] == n) | (n == window)]
+            hashes = tx.gram_hash(words, n)[own]
+            order = np.lexsort((own, owner[own], hashes))
+            own, hashes = own[order], hashes[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[own[1:]] != owner[own[:-1]])
+            self.windows[n] = hashes[new], own[new], owner[own[new]]
 
     def match(self, words: np.ndarray, first: np.ndarray, raw) -> list[tuple[int, int, int]]:
-        """(start, end, item) of the shared runs, in words. raw(i): the bytes of word i."""
-        hits: set[tuple[int, int, int]] = set()
-        same = lambda a, b, n: all(raw(a + i) == self.raw[b + i] for i in range(n))
-        if len(self.prints) and len(words) >= self.window:
-            grams = tx.gram_hash(words, self.k)
-            kept = winnow(words, first, self.window, self.k)
-            lo = np.searchsorted(self.prints, grams[kept], "left")
-            hi = np.searchsorted(self.prints, grams[kept], "right")
-            some = hi > lo
-            #: first holds the bounds of each text: runs don't leave a text or an item
-            row = np.searchsorted(first, kept[some], "right") - 1
-            for p, r, a, b in zip(kept[some].tolist(), row.tolist(), lo[some].tolist(), hi[some].tolist()):
-                left, right = int(first[r]), int(first[r + 1])
-                for q in self.at[a:b].tolist():
-                    item = int(self.owner[q])
-                    back = forth = 0
-                    most = min(p - left, q - int(self.first[item]))
-                    while back < most and words[p - back - 1] == self.words[q - back - 1]:
-                        back += 1
-                    most = min(right - p, int(self.first[item + 1]) - q)
-                    while forth < most and words[p + forth] == self.words[q + forth]:
-                        forth += 1
-                    if back + forth >= self.window and (p - back, p + forth, item) not in hits and same(p - back, q - back, back + forth):
-                        hits.add((p - back, p + forth, item))
-        for n, (prints, items) in self.short.items():
+        """(start, end, item) of windows that an item has too, in words; of those of one text that are
+        equal all but the first are named with item -1. raw(i): the bytes of word i.
+
+        A kept fingerprint of a text that an item keeps too is extended to the windows around it. All of
+        it is linear in the words and hits, however often a word, a window or a hit is repeated."""
+        hits: list[tuple[int, int, int]] = []
+        for n, (hashes, places, owners) in self.windows.items():
+            if len(words) < n or not len(hashes):
+                continue
             grams = tx.gram_hash(words, n)
-            if not len(grams):
+            starts = np.flatnonzero(window_starts(first, n, len(words)))
+            if n == self.window:
+                kept = winnow(words, first, n, self.k)
+                own = tx.gram_hash(words, self.k)[kept]
+                at = np.minimum(np.searchsorted(self.prints, own), len(self.prints) - 1)
+                kept = kept[self.prints[at] == own] if len(self.prints) else kept[:0]
+                around = np.unique((kept[:, None] - np.arange(n - self.k + 1)).ravel())
+                starts = np.intersect1d(around, starts, assume_unique=True)
+            lo, hi = (np.searchsorted(hashes, grams[starts], side) for side in ("left", "right"))
+            some = hi > lo
+            starts, lo, hi = starts[some], lo[some], hi[some]
+            if not len(starts):
                 continue
-            at = np.minimum(np.searchsorted(prints, grams), len(prints) - 1)
-            found = np.flatnonzero(prints[at] == grams)
-            row = np.searchsorted(first, found, "right") - 1
-            for p in found[found + n <= first[row + 1]].tolist():
-                for item in items[int(grams[p])]:
-                    if same(p, int(self.first[item]), n):
-                        hits.add((p, p + n, item))
-        return list(hits)
+            steps = np.arange(n)
+            same = (words[starts[:, None] + steps] == self.words[places[lo][:, None] + steps]).all(1)
+            starts, lo, hi = starts[same], lo[same], hi[same]
+            row = np.searchsorted(first, starts, "right") - 1
+            order = np.lexsort((starts, lo, row))
+            new = np.ones(len(order), bool)
+            new[1:] = (row[order][1:] != row[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+            checked = False
+            for i, fresh in zip(order.tolist(), new.tolist()):
+                s = int(starts[i])
+                if fresh:
+                    #: one of each kind of window is compared byte by byte
+                    at = int(places[lo[i]])
+                    checked = all(raw(s + j) == bytes(self.data[self.start[at + j] : self.end[at + j]]) for j in range(n))
+                    if checked:
+                        hits += [(s, s + n, int(item)) for item in owners[lo[i] : hi[i]]]
+                elif checked:
+                    hits.append((s, s + n, -1))
+        return hits
 
 
 def _match_batch(column: pa.Array, items: Items) -> dict:
@@ -126,7 +136,7 @@ def _match_batch(column: pa.Array, items: Items) -> dict:
                     merged.append([s, e])
             at = int(first[row])
             n_hit.append(sum(e - s for s, e in merged))
-            names.append(sorted({items.names[i] for _, _, i in found.get(row, ())}))
+            names.append(sorted({items.names[i] for _, _, i in found.get(row, ()) if i >= 0}))
             spans.append([{"start": s - at, "end": e - at} for s, e in merged])
     return {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hit_items": pa.array(names, pa.list_(pa.string())), "hit_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
 

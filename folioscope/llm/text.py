@@ -95,6 +95,16 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+#: Bits of a place in a number that holds a hash above it; the same for all slices and texts, so
+#: that equal runs have their least hash at the same place wherever they are.
+PLACE = np.uint64((1 << 32) - 1)
+
+
+def placed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes, by their upper half, with their places: of equal ones the first is the least."""
+    return (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+
+
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of `width` keys."""
     n, length = len(keys) - width + 1, 1
