@@ -575,3 +575,54 @@ def conflicts_of_live(spark, d):
     claims = store.latest_claims(A.raw_claims(spark, d))
     papers = claims.select(F.col("paper_id").alias("id")).distinct().select("id", F.when(F.col("id") % 3 == 0, F.current_timestamp()).alias("deleted_at"))
     return commands.conflicts(claims, papers).select("paper_id", "field", F.array_join(F.transform("found", lambda c: C(c["source"], L("="), c["value"])), ";").alias("found"))
+
+
+# -- files and requests -----------------------------------------------------------------------------------------
+
+
+def _written(spark, name: str, rows: list) -> str:
+    """A few small files (path, content) in a new folder that the executors share."""
+    folder = _folder(spark, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, content in rows:
+        out = files.create(place(f"{folder}/{path}"))
+        out.write(bytearray(content.encode()))
+        out.close()
+    return folder
+
+
+@query("SELECT 'd' || n_nationkey AS folder, n_name AS title, '10.1/' || n_nationkey AS doi FROM nation")
+def folder_records(spark, d):
+    """Folders one level below that have a source file; deeper ones and other files don't count."""
+    nations = A.table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    rows = [(f"d{n}/source.yaml", f"title: {name}\ndoi: 10.1/{n}\n") for n, name in nations] + [("d1/deep/source.yaml", "title: deep"), ("e/other.yaml", "title: other")]
+    out = markup.yaml_records(markup.paper_folders(spark, _written(spark, "papers", rows)))
+    return out.select(F.element_at(F.split("local_path", "/"), -1).alias("folder"), "title", "doi")
+
+
+@query("SELECT 'k' || n_nationkey AS cache_key, CASE WHEN n_nationkey % 2 = 0 THEN 'kept' ELSE '{\"n\": \"' || n_name || '\"}' END AS body FROM nation")
+def cached_bodies(spark, d):
+    """Files of captured bodies go into the cache where it has none of their name."""
+    from folioscope.operators import store
+
+    nations = A.table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    files = markup.cached_files(spark, _written(spark, "bodies", [(f"k{n}", f'{{"n": "{name}"}}') for n, name in nations]))
+    cache = files.where(F.substring("cache_key", 2, 9).cast("int") % 2 == 0).withColumn("body", L("kept"))
+    return store.cache_insert_missing(cache, files).select("cache_key", "body")
+
+
+@query("SELECT 'k' || p_partkey AS cache_key, CASE WHEN p_partkey % 2 = 0 THEN '{\"cached\": 1}' ELSE '[\"http://x/' || p_partkey || '\"]' END AS body FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0")
+def fetched_bodies(spark, d):
+    """Fresh bodies of the cache, and for stale and missing ones what the getter has, if it looks like
+    a payload."""
+    from folioscope.sources import fetch
+
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), C(L("k"), F.col("p_partkey").cast("string")).alias("cache_key"), C(L("http://x/"), F.col("p_partkey").cast("string")).alias("url"))
+    now = F.to_timestamp(L("2020-01-02 00:00:00"))
+    cache = p.where("id % 2 = 0 or id % 5 = 0").select("cache_key", "url", L('{"cached": 1}').alias("body"), F.when(F.col("id") % 2 == 0, F.to_timestamp(L("2020-01-01 12:00:00"))).otherwise(F.to_timestamp(L("2019-01-01 00:00:00"))).alias("fetched_at"))
+
+    def get(url: str) -> tuple[int, dict, str]:
+        return 200, {}, "no payload" if int(url.rsplit("/", 1)[1]) % 3 == 0 else f'["{url}"]'
+
+    return fetch.fetch(p.select("cache_key", "url"), cache, get, now).select("cache_key", "body")
