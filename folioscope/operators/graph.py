@@ -54,24 +54,31 @@ def closure(papers: DataFrame, edges: DataFrame, seeds: list, direction: str = "
 
 
 def hops(edges: DataFrame, roots: DataFrame, direction: str = "refs", most: int = MOST_HOPS, most_nodes: int | None = None) -> DataFrame:
-    """(node, level), each node once, at its distance from the nearest root (level 0).
+    """(node, level), each node once, at its distance from the nearest root (level 0). An edge to a
+    node without an id is a row of its own (node null), and leads no further.
 
     The order that the cap follows is (level, node). A level is a join with the edges and an
     anti join with what is known; nothing but a count comes to the driver."""
     checkpoint_folder(edges.sparkSession)
+    every = oriented(edges, direction).where("a is not null")
     #: Oriented once and written: each level reads it instead of making it again.
-    steps = oriented(edges, direction).distinct().checkpoint()
+    steps = every.where("b is not null").distinct().checkpoint()
+    loose = every.where("b is null").checkpoint()
+    some_loose = not loose.isEmpty()
     known = roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("level")).distinct()
-    frontier = known
+    frontier, unnamed = known, known.limit(0)
     for level in range(1, most + 1):
+        if some_loose:
+            unnamed = unnamed.unionAll(frontier.join(loose, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(level).alias("level")))
         reached = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = reached.join(known.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level")).checkpoint()
         if frontier.isEmpty():
             break
         known = known.unionAll(frontier)
-        if most_nodes is not None and known.count() - 1 >= most_nodes:
+        if most_nodes is not None and known.count() + (unnamed.count() if some_loose else 0) - 1 >= most_nodes:
             break
-    return known if most_nodes is None else known.where("level = 0").unionAll(known.where("level > 0").orderBy("level", "node").limit(most_nodes))
+    out = known.unionAll(unnamed) if some_loose else known
+    return out if most_nodes is None else out.where("level = 0").unionAll(out.where("level > 0").orderBy("level", "node").limit(most_nodes))
 
 
 def shortest_path(edges: DataFrame, start: object, end: object, most: int = MOST_HOPS) -> DataFrame:

@@ -61,6 +61,9 @@ def test_hops_and_paths(g, spark):
     assert graph.shortest_path(edges, "p10", "none").count() == 0
     cycle = spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int")
     assert {r.node: r.level for r in graph.hops(cycle, spark.createDataFrame([(1,)], "node int")).collect()} == {1: 0, 2: 1}
+    nameless = spark.createDataFrame([(1, 2), (1, None), (1, None), (2, None), (2, 3), (None, 4)], "src int, dst int")
+    got = [(r.node, r.level) for r in graph.hops(nameless, spark.createDataFrame([(1,)], "node int")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (2, 1), (None, 1), (None, 1), (3, 2), (None, 2)], key=str)
     assert len(ids(commands.refs(papers, edges, "p9", 2, 3))) == 3
     assert [r.title for r in commands.path(papers, edges, "p10", "p1").collect()] == ["title p10", "title p1"]
 
