@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, mixing, quality, shingles, simhash, suffixes
+from folioscope.llm import decontaminate, mixing, quality, simhash, suffixes
 from folioscope.llm.storage import shared_folder
 
 
@@ -18,19 +18,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that pairs of similarity 0.8 or more connect (five-word shingles,
-    see shingles.py) the one with the smallest id stays; of rows with the same id, one. Documents
-    without an id can't be named and stay. The fingerprints of op4 serve its query only: pairs of
-    that similarity differ in about 10 of 64 bits."""
-    #: Texts without a word are one text.
-    t = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).otherwise(F.xxhash64(F.lit("")))
-    texts = docs.where("doc_id is not null").select(t.alias("t"), "doc_id", "text")
-    roots = simhash.components(shingles.similar(texts.select("t", "text")))
-    groups = texts.select("t", "doc_id").join(roots, texts["t"] == roots["node"], "left").select(F.coalesce("root", "t").alias("root"), "doc_id")
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of documents whose sets of five-word shingles are 0.8 or more alike, pair by pair,
+    one stays: that with the smallest id. The operator's wide fingerprints find the pairs; the narrow
+    ones of op4 serve its query only, as pairs of that similarity differ in about 10 of 64 bits."""
+    return simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

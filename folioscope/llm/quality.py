@@ -27,21 +27,29 @@ BITS, ROUNDS, PASSES = 18, 25, 12
 #: Different texts of the sample that must have a feature, and by how many standard deviations
 #: it must be more, or less, frequent in bad texts.
 LEAST_TEXTS, DEVIATIONS = 10, 5.0
-#: Insults that a labeller counts.
+#: English insults, insults of three other languages, and threats.
 INSULTS = ["clown", "disgusting", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless"]
+ABUSE = ["abruti", "abschaum", "asqueroso", "basura", "blödmann", "connard", "crétin", "dummkopf", "débil", "débile", "escoria", "estúpido", "imbécil", "imbécile", "minable", "ordure", "patético", "stupide", "trottel", "versager", "widerlich", "wertlos"]
+THREATS = ["destroy", "hang", "hate", "hurt", "kill", "killed", "murder", "shoot", "töten", "hasse", "haïr", "tuer", "matar", "odio"]
+#: Frequent words by which a labeller knows that it can read a text.
+ENGLISH = ["a", "and", "are", "in", "is", "it", "of", "that", "the", "to"]
+OTHERS = ["das", "de", "der", "die", "ein", "el", "en", "est", "et", "la", "le", "les", "los", "que", "un", "una", "und", "une", "y"]
 #: Labellers of junk: a measure, the value from which it votes bad, and that up to which fine
 #: (or the other way round, where fine is above bad).
 JUNK = [("symbols", 0.10, 0.05), ("capitals", 0.25, 0.06), ("fresh", 0.35, 0.5), ("bare", 0.03, 0.005), ("same_lines", 0.3, 0.05), ("word_size", 9.0, 7.0)]
-#: Labellers of toxic texts: insults in the text, different insults, insults in 100 words. A
-#: list of one language says nothing when it finds nothing, so they never vote fine.
-TOXIC = [("insults", 1, -1), ("kinds", 2, -1), ("dense", 0.5, -1)]
+#: Labellers of toxic texts, each by words of its own: English insults, those of other languages,
+#: and threats. A list says nothing of texts in a language that it isn't of: its labeller votes
+#: fine only where it finds none and frequent words of its language are KNOWN of all words.
+TOXIC = [("insults", 1, 0), ("abuse", 1, 0), ("threats", 1, 0)]
+READS = {"insults": ("english",), "abuse": ("others",), "threats": ("english", "others")}
+KNOWN = 0.1
 #: Steps in one unit of each measure of junk; a text has a feature for each step it reaches.
 STEPS = (40, 20, 12, 40, 10, 1)
-MEASURES = ["words", *(m for m, _, _ in JUNK), *(m for m, _, _ in TOXIC)]
+MEASURES = ["words", *(m for m, _, _ in JUNK), *(m for m, _, _ in TOXIC), "english", "others"]
 
 
-def _insult_hashes() -> np.ndarray:
-    data, offsets = tx.buffers(pa.array(INSULTS))
+def _list_hashes(words: list[str]) -> np.ndarray:
+    data, offsets = tx.buffers(pa.array(words))
     start, end, _ = tx.word_bounds(data, offsets, tx.ALNUM)
     return np.sort(tx.word_hashes(data, start, end))
 
@@ -63,17 +71,18 @@ STEMS = (4, 6, 7)
 Features = tuple[list[np.ndarray], list[np.ndarray]]
 
 
-def describe(column: pa.Array) -> tuple[np.ndarray, Features, Features]:
-    """For each text its measures, and two sets of hashed features with their weights.
+def describe(column: pa.Array) -> Iterator[tuple[np.ndarray, Features, Features]]:
+    """For the texts of a slice at a time, in order, their measures and two sets of hashed features
+    with their weights. Only one slice is held, however many texts the column has.
 
     Its shape: pairs of neighbouring bytes by their share of the text, and the measures by
     steps. What it says: every different word (lower case) and word beginning. Null is empty."""
     data, offsets = tx.buffers(column)
-    insults = _insult_hashes()
-    measures = np.zeros((len(column), len(MEASURES)))
-    shape: Features = ([], [])
-    said: Features = ([], [])
+    lists = [_list_hashes(x) for x in (INSULTS, ABUSE, THREATS, ENGLISH, OTHERS)]
     for a, b in tx.slices(offsets):
+        measures = np.zeros((b - a, len(MEASURES)))
+        shape: Features = ([], [])
+        said: Features = ([], [])
         raw = data[offsets[a] : offsets[b]]
         own = offsets[a : b + 1] - offsets[a]
         low = tx.LOWER[raw]
@@ -87,7 +96,7 @@ def describe(column: pa.Array) -> tuple[np.ndarray, Features, Features]:
         letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
         bare = letters[mark_end] == letters[marks]
         symbol, upper = np.concatenate([[0], np.cumsum(_SYMBOL[raw])]), np.concatenate([[0], np.cumsum(_UPPER[raw])])
-        bad = insults[np.minimum(np.searchsorted(insults, hashed), len(insults) - 1)] == hashed
+        found = [np.concatenate([[0], np.cumsum(x[np.minimum(np.searchsorted(x, hashed), len(x) - 1)] == hashed)]) for x in lists]
         line_ends = raw == 10
         for row in range(b - a):
             s, e = own[row], own[row + 1]
@@ -102,9 +111,9 @@ def describe(column: pa.Array) -> tuple[np.ndarray, Features, Features]:
             if lines > 3:
                 parts = raw[s:e].tobytes().split(b"\n")
                 same = 1 - len(set(parts)) / len(parts)
-            rude = hashed[f0:f1][bad[f0:f1]]
-            m = [w1 - w0, (symbol[e] - symbol[s]) / n, (upper[e] - upper[s]) / max(1, letters[e] - letters[s]), len(np.unique(whole[w0:w1])) / words ** 0.93 if w1 - w0 > 8 else 1.0, bare[w0:w1].sum() / words, same, (letters[e] - letters[s]) / words, len(rude), len(np.unique(rude)), 100 * len(rude) / words]
-            measures[a + row] = m
+            listed = [int(x[f1] - x[f0]) for x in found]
+            m = [w1 - w0, (symbol[e] - symbol[s]) / n, (upper[e] - upper[s]) / max(1, letters[e] - letters[s]), len(np.unique(whole[w0:w1])) / words ** 0.93 if w1 - w0 > 8 else 1.0, bare[w0:w1].sum() / words, same, (letters[e] - letters[s]) / words, *listed[:3], listed[3] / words, listed[4] / words]
+            measures[row] = m
             pair = low[s : e - 1].astype(np.int64) << 8 | low[s + 1 : e] if e - s > 1 else np.zeros(0, np.int64)
             pairs, times = np.unique(pair, return_counts=True)
             steps = np.array([i * 64 + j for i, (x, k) in enumerate(zip(m[1:7], STEPS)) for j in range(min(12, int(x * k)) + 1)])
@@ -115,7 +124,7 @@ def describe(column: pa.Array) -> tuple[np.ndarray, Features, Features]:
                 places = np.concatenate(ids) >> np.uint64(64 - BITS)
                 out[0].append(places.astype(np.int32))
                 out[1].append(np.concatenate(share).astype(np.float32))
-    return measures, shape, said
+        yield measures, shape, said
 
 
 def votes(measures: np.ndarray, labellers: list[tuple[str, float, float]]) -> np.ndarray:
@@ -127,8 +136,10 @@ def votes(measures: np.ndarray, labellers: list[tuple[str, float, float]]) -> np
         x = measures[:, MEASURES.index(name)]
         up = bad > fine
         out[(x >= bad) if up else (x <= bad), k] = 1
-        if fine >= 0:
-            out[(x <= fine) if up else (x >= fine), k] = 0
+        calm = (x <= fine) if up else (x >= fine)
+        if name in READS:
+            calm &= sum(measures[:, MEASURES.index(m)] for m in READS[name]) >= KNOWN
+        out[calm, k] = 0
         if labellers is JUNK:
             out[short, k] = -1
     return out
@@ -138,8 +149,8 @@ def posteriors(votes_: np.ndarray, rounds: int = ROUNDS, prior: float = 0.15) ->
     """Expectation-maximisation: P(bad) of each row, and for each labeller its rates
     [P(votes bad | fine), P(votes bad | bad)] among its votes.
 
-    It starts from labellers that are right in four of five votes, and rates stay on the side
-    of better than chance, so that the two classes can't change places."""
+    It starts from labellers that are right in most votes and finds those that are not: a rate may
+    end anywhere. What all labellers say together decides which class is the bad one."""
     rates = np.tile([[0.1], [0.8]], (1, votes_.shape[1])).T.astype(float)
     bad, fine = votes_ == 1, votes_ == 0
     q = np.full(len(votes_), prior)
@@ -151,8 +162,10 @@ def posteriors(votes_: np.ndarray, rounds: int = ROUNDS, prior: float = 0.15) ->
         for side, w in ((0, 1 - q), (1, q)):
             yes, no = w @ bad, w @ fine
             rates[:, side] = (yes + (0.2, 1.6)[side]) / (yes + no + 2)
-        rates[:, 0] = np.clip(rates[:, 0], 0.002, 0.4)
-        rates[:, 1] = np.clip(rates[:, 1], 0.3, 0.998)
+        rates = np.clip(rates, 0.002, 0.998)
+    #: by how much each labeller's votes speak for the class that is called bad
+    if len(votes_) and ((bad | fine).sum(0) * (rates[:, 1] - rates[:, 0])).sum() < 0:
+        return 1 - q, rates[:, ::-1]
     return q, rates
 
 
@@ -206,19 +219,20 @@ class Classifier:
     rates: dict[str, np.ndarray]
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        _, shape, said = describe(column)
-        out = []
-        for (w, bias), (index, weight) in ((self.junk, shape), (self.toxic, said)):
-            out.append(np.array([1 / (1 + np.exp(-np.clip(bias + (w[i] * v).sum(), -30, 30))) for i, v in zip(index, weight)]))
-        return out[0], out[1]
+        out = ([np.zeros(0)], [np.zeros(0)])
+        for _, shape, said in describe(column):
+            for k, ((w, bias), (index, weight)) in enumerate(((self.junk, shape), (self.toxic, said))):
+                out[k].append(np.array([1 / (1 + np.exp(-np.clip(bias + (w[i] * v).sum(), -30, 30))) for i, v in zip(index, weight)]))
+        return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        measures, shape, said = describe(batch.column("text"))
-        if batch.num_rows:
+        at = 0
+        for measures, shape, said in describe(batch.column("text")):
             lists = [pa.array(x, pa.list_(t)) for x, t in ((list(measures), pa.float64()), (shape[0], pa.int32()), (shape[1], pa.float32()), (said[0], pa.int32()), ([x.astype(np.int8) for x in said[1]], pa.int8()))]
-            yield pa.RecordBatch.from_arrays([*lists, batch.column("quality"), batch.column("toxic")], names=["measures", "si", "sw", "wi", "ww", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([*lists, *(batch.column(c).slice(at, len(measures)) for c in ("quality", "toxic"))], names=["measures", "si", "sw", "wi", "ww", "quality", "toxic"])
+            at += len(measures)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUMENTS, doc_id: str = "doc_id", text: str = "text") -> Classifier:
@@ -226,16 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUM
     (doc_id, quality, toxic) are given, else any. Features, not texts, come to the driver."""
     rows = tx.doc_input(docs, doc_id, text).where(F.col("text").isNotNull())
     none = F.lit(None).cast("int")
+    chosen = lambda total: F.xxhash64("doc_id", F.lit("fit")) <= F.lit(tx.hash_limit(limit, total))
+    total = 0
     if labels is not None:
-        known = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("k is not null").groupBy("k").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         total = known.count()
-        if total > limit:
-            known = known.where(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * limit / total))
+    if total:
         #: a table of about `limit` ids and two small numbers
-        sample = rows.join(F.broadcast(known), rows["doc_id"] == known["k"]).select("text", "quality", "toxic") if total else rows.limit(0).select("text", none.alias("quality"), none.alias("toxic"))
-    if labels is None or not total:
-        total = max(1, rows.count())
-        sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1, limit / total))).select("text", none.alias("quality"), none.alias("toxic"))
+        sample = rows.join(F.broadcast(known.where(chosen(total))), "doc_id")
+    else:
+        sample = rows.where(chosen(max(1, rows.select("doc_id").distinct().count()))).select("*", none.alias("quality"), none.alias("toxic"))
+    #: one text for each id, so that a repeated id can't multiply what reaches the driver
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "quality", "toxic")).alias("one")).select("one.*")
     got = sample.mapInArrow(_sampled, "measures array<double>, si array<int>, sw array<float>, wi array<int>, ww array<tinyint>, quality int, toxic int").toArrow()
     measures = np.array(got["measures"].to_pylist()).reshape(-1, len(MEASURES))
     #: exact copies count once

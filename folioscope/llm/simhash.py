@@ -125,6 +125,216 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+#: The wide form, for texts that are alike by their shingles: words of a shingle, 64-bit words of a
+#: fingerprint, the similarity of two sets of shingles, and bits by which two sketches (the first
+#: word of a fingerprint) of such sets may differ: 10 are expected at that similarity, 20 is beyond
+#: three deviations.
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SKETCH_BITS = 5, 10, (4, 5), 20
+#: Texts whose places are made at a time, and the orders in which those of a place take the lead.
+PLACED = 2048
+_ORDERS = np.array([0, 0x5555555555555555, -0x3333333333333334, -0x5A5A5A5A5A5A5A5B], np.int64)
+
+
+def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Hamming code of 31 bits, of which every value is at most one bit away. For each of the 32
+    syndromes: what turns a value into the codewords within two bits of it, and how many they are;
+    and the masks whose parities are the bits of the syndrome."""
+    flips, count = np.zeros((32, 16), np.int64), np.full(32, 16)
+    count[0] = 1
+    for s in range(1, 32):
+        flips[s] = [1 << s - 1, *(1 << i - 1 | 1 << (i ^ s) - 1 for i in range(1, 32) if i < i ^ s and i != s)]
+    return flips, count, np.array([sum(1 << p - 1 for p in range(1, 32) if p >> j & 1) for j in range(5)])
+
+
+_FLIPS, _FLIP_COUNT, _PARITY = _code()
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of the shingles of each text; a text of fewer words is one shingle."""
+    for a, b in tx.slices(offsets):
+        part = tx.LOWER[data[offsets[a] : offsets[b]]]
+        start, end, first = tx.word_bounds(part, offsets[a : b + 1] - offsets[a], tx.NOT_SPACE)
+        words = tx.word_hashes(part, start, end)
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield np.unique(tx.gram_hash(words[i:j], min(shingle, j - i))) if j > i else np.zeros(0, np.uint64)
+
+
+def wide_prints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """The fingerprint of each set that isn't empty: a bit is the majority of that bit of all hashes."""
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), words), np.uint64)
+    #: so many sets at a time that their bits stay small
+    turn = np.flatnonzero(np.diff(np.cumsum(sizes) >> 17, prepend=0)).tolist() if len(sets) else []
+    for a, b in zip([0, *turn], [*turn, len(sets)]):
+        if a == b:
+            continue
+        flat = np.concatenate(sets[a:b])
+        base = np.cumsum(sizes[a:b]) - sizes[a:b]
+        #: bits are counted in bytes, eight at a time, so blocks of a set have at most 255 hashes
+        blocks = -(-sizes[a:b] // 255)
+        first = np.cumsum(blocks) - blocks
+        block = np.repeat(base - 255 * first, blocks) + 255 * np.arange(blocks.sum())
+        for w in range(words):
+            bits = np.unpackbits(tx.mix(flat + np.uint64(w)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            some = np.add.reduceat(bits.view(np.uint64), block, axis=0).view(np.uint8)
+            ones = np.add.reduceat(some, first, axis=0, dtype=np.int32)
+            out[a:b, w] = np.packbits(ones * 2 > sizes[a:b, None], axis=1).view(">u8")[:, 0]
+    return out
+
+
+def places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): where each fingerprint looks and is found. Each 31 bits are a segment; the codewords
+    within two bits of its value are its places. Values that differ in at most two bits have a place
+    in common: the codeword next to what is between them."""
+    values = (prints.view(np.uint32) & np.uint32(0x7FFFFFFF)).astype(np.int64)
+    syndrome = sum((np.bitwise_count(values & m) & 1).astype(np.int64) << j for j, m in enumerate(_PARITY))
+    key = (values[:, :, None] ^ _FLIPS[syndrome]) | (np.arange(values.shape[1]) << 31)[None, :, None]
+    used = np.arange(16) < _FLIP_COUNT[syndrome][:, :, None]
+    return np.nonzero(used)[0], key[used]
+
+
+def lead(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by key and turn: which lead, and the pairs (follower, leader) of the others. In
+    each key the first row that follows nobody leads, and all whose sketches are near its own
+    follow it; so a key has as many pairs as followers, however many they are."""
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    leads, pairs = np.ones(len(key), bool), []
+    left = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))
+    while len(left):
+        k = key[left]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        first = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+        near = ~new & (np.bitwise_count(sketch[left] ^ sketch[first]) <= most)
+        pairs.append((left[near], first[near]))
+        leads[left[near]] = False
+        left = left[~near & ~new]
+    follower, leader = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+    own = _ORDERS[key[follower] & 3]
+    return leads, turn[follower] ^ own, turn[leader] ^ own
+
+
+def _place_rows(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(turn), pa.array(sketch)], names=["key", "turn", "sketch"])
+
+
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of different texts once, the larger first."""
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _place(shingle: int, words: int, most: int):
+    """The places of texts. Those that meet within a batch are pairs already (rows of negative keys,
+    which go by as they are), and only the leaders go on to meet those of other batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = tx.buffers(batch.column("text"))
+            known = {}
+            for t, s in zip(batch.column("t").to_pylist(), shingle_sets(data, offsets, shingle)):
+                if len(s):
+                    known.setdefault(t, s)
+                if len(known) == PLACED:
+                    yield from _placed(known, words, most)
+                    known = {}
+            yield from _placed(known, words, most)
+
+    return run
+
+
+def _placed(known: dict[int, np.ndarray], words: int, most: int) -> Iterator[pa.RecordBatch]:
+    if known:
+        t, prints = np.array(list(known), np.int64), wide_prints(list(known.values()), words)
+        row, key = places(prints)
+        turn, sketch = t[row] ^ _ORDERS[key & 3], prints[row, 0].view(np.int64)
+        order = np.lexsort((turn, key))
+        key, turn, sketch = key[order], turn[order], sketch[order]
+        leads, follower, leader = lead(key, turn, sketch.view(np.uint64), most)
+        yield _place_rows(key[leads], turn[leads], sketch[leads])
+        a, b = _different(follower, leader)
+        yield _place_rows(-1 - (tx.mix(a.view(np.uint64)) >> np.uint64(2)).view(np.int64), a, b)
+
+
+def _meet(most: int):
+    """Candidate pairs (a, b) of a partition of places that is sorted by key and turn; of a key that
+    goes on in the next batch only the leaders are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            key, turn, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            if not len(key):
+                continue
+            told = key < 0
+            met = ~told
+            a, b = turn[told], sketch[told]
+            key, turn, sketch = key[met], turn[met], sketch[met]
+            leads, follower, leader = lead(key, turn, sketch.view(np.uint64), most) if len(key) else (np.zeros(0, bool), a[:0], a[:0])
+            last = leads & (key == key[-1]) if len(key) else leads
+            held = [key[last], turn[last], sketch[last]]
+            a, b = _different(np.concatenate([a, follower]), np.concatenate([b, leader]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _alike(shingle: int, similarity: tuple[int, int]):
+    """Those of the pairs of texts whose sets of shingles have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (shingle_sets(*tx.buffers(batch.column(c)), shingle) for c in ("x", "y"))
+                keep = []
+                for m, n in zip(x, y):
+                    both = len(np.intersect1d(m, n, assume_unique=True))
+                    keep.append(similarity[1] * both >= similarity[0] * (len(m) + len(n) - both))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar(texts: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, similarity: tuple[int, int] = SIMILARITY, most: int = SKETCH_BITS) -> DataFrame:
+    """(a, b): pairs of texts (t, a number for each different text; text) whose sets of word shingles
+    have at least the Jaccard similarity, which connect what such pairs connect.
+
+    Fingerprints are wide, as two bits of 64 are far too few for that similarity: in one of their
+    segments two of them differ in at most two bits, nearly always, and meet. Pairs that meet are
+    verified by their whole texts. Texts without a word have no shingle and no pair."""
+    shared_folder(texts.sparkSession)
+    rows = texts.mapInArrow(_place(shingle, words, most), "key long, turn long, sketch long")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(_meet(most), "a long, b long").distinct().checkpoint()
+    needed = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    some = texts.join(needed, "t", "left_semi").dropDuplicates(["t"])
+    x, y = some.select(F.col("t").alias("a"), F.col("text").alias("x")), some.select(F.col("t").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(shingle, similarity), "a long, b long").checkpoint()
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when of each group of texts that `similar` connects, and of equal
+    texts, one row stays: that with the smallest id (null last), then the smallest hash of the text.
+
+    Texts without a word, null or not, are one text. Decided for each row: rows with the same id
+    but unlike texts all stay, and so do those with null ids."""
+    own = F.col(f"`{text}`").cast("string")
+    t = F.when(own.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(own)).otherwise(F.xxhash64(F.lit("")))
+    place = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.col("_t"))
+    texts = docs.select(t.alias("t"), own.alias("text"))
+    roots = components(similar(texts))
+    marks = docs.select(t.alias("_t"), F.col(f"`{doc_id}`")).groupBy("_t", F.col(f"`{doc_id}`")).agg(F.count("*").alias("n"))
+    first = marks.select("_t", "n", place.alias("p")).groupBy("_t").agg(F.min(F.struct("p", "n")).alias("least"))
+    groups = first.join(roots, first["_t"] == roots["node"], "left").groupBy(F.coalesce("root", "_t")).agg(F.min("least").alias("least"))
+    chosen = groups.select(F.col("least.p._t").alias("_chosen"), F.col("least.p.id").alias("_id"), F.col("least.n").alias("_n"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*names).alias("_row"), t.alias("_t"), F.col(f"`{doc_id}`").alias("_own"))
+    kept = whole.join(chosen, (whole["_t"] == chosen["_chosen"]) & whole["_own"].eqNullSafe(chosen["_id"]))
+    #: rows that are alike in id and text are rare: only they are grouped
+    several = kept.where("_n > 1").groupBy("_t", "_own").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return kept.where("_n = 1").select("_row").unionAll(several.select("_row")).select("_row.*")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
     """One row for each row of docs: doc_id, fp (the fingerprint as a signed integer),
     component_id (the least id of those that links lead to; null ids name no component).

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from folioscope.llm import shingles
+from folioscope.llm import simhash
 
 
 def grams(text):
@@ -53,9 +53,9 @@ def brute_least(texts):
     return sorted({find(i) for i in range(len(texts))})
 
 
-@pytest.mark.parametrize("often", [1, 8, 10**9])
-def test_stage_finds_all_pairs(spark, monkeypatch, often):
-    monkeypatch.setattr(shingles, "OFTEN", often)
+@pytest.mark.parametrize("placed", [3, 2048])
+def test_stage_finds_all_pairs(spark, monkeypatch, placed):
+    monkeypatch.setattr(simhash, "PLACED", placed)
     texts = corpus(random.Random(5))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute_least(texts)
