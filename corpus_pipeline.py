@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, mixing, quality, simhash, suffixes
-from folioscope.llm.storage import shared_folder
+from folioscope.llm.storage import remove, shared_folder
+
+
+def _beside(docs: DataFrame, fields: list[tuple[str, str]], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `work` keeps of docs, with all of their columns, also those that have the name of one of the
+    fields that the operator adds."""
+    names = {n for n, _ in fields}
+    hidden = {c: f"_input_{i}" if c in names else c for i, c in enumerate(docs.columns)}
+    kept = work(docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]))
+    return kept.select(*[F.col(f"`{h}`").alias(c) for c, h in hidden.items()])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Junk and toxic documents go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model).where("keep").select(*docs.columns)
+    return _beside(docs, quality.RESULT, lambda d: quality.classify(d, model).where("keep"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +51,8 @@ def _whole_characters(name: str):
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
-    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.where("n_hit = 0").select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _beside(docs, decontaminate.RESULT, lambda d: decontaminate.decontaminate(d, items).where("n_hit = 0"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
+    """All stages over documents; each one's result is written to the shared folder and read again. What
+    a stage has read is removed once its result is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
     return docs

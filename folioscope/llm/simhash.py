@@ -129,7 +129,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 #: fingerprint, the similarity of two sets of shingles, and bits by which two sketches (the first
 #: word of a fingerprint) of such sets may differ: 10 are expected at that similarity, 20 is beyond
 #: three deviations.
-WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SKETCH_BITS = 5, 10, (4, 5), 20
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SKETCH_BITS = 5, 12, (4, 5), 20
+#: Numbers of texts that go to all tasks at most; more are joined by a shuffle.
+SENT_TEXTS = 4_000_000
 #: Texts whose places are made at a time, and the orders in which those of a place take the lead.
 PLACED = 2048
 _ORDERS = np.array([0, 0x5555555555555555, -0x3333333333333334, -0x5A5A5A5A5A5A5A5B], np.int64)
@@ -213,8 +215,14 @@ def lead(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray, most: int) -> tu
     return leads, turn[follower] ^ own, turn[leader] ^ own
 
 
-def _place_rows(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(turn), pa.array(sketch)], names=["key", "turn", "sketch"])
+def _place_rows(key: np.ndarray, t: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(t), pa.array(sketch)], names=["key", "t", "sketch"])
+
+
+def _turn() -> Column:
+    """The order of the rows of a place (see _ORDERS), as Spark has it."""
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    return F.col("t").bitwiseXOR(F.element_at(F.array(*[F.lit(int(x)) for x in _ORDERS]), (kind + 1).cast("int")))
 
 
 def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +258,10 @@ def _placed(known: dict[int, np.ndarray], words: int, most: int) -> Iterator[pa.
         row, key = places(prints)
         turn, sketch = t[row] ^ _ORDERS[key & 3], prints[row, 0].view(np.int64)
         order = np.lexsort((turn, key))
-        key, turn, sketch = key[order], turn[order], sketch[order]
-        leads, follower, leader = lead(key, turn, sketch.view(np.uint64), most)
-        yield _place_rows(key[leads], turn[leads], sketch[leads])
+        leads, follower, leader = lead(key[order], turn[order], sketch[order].view(np.uint64), most)
+        #: text by text, which packs well
+        leads = np.sort(order[leads])
+        yield _place_rows(key[leads], t[row[leads]], sketch[leads])
         a, b = _different(follower, leader)
         yield _place_rows(-1 - (tx.mix(a.view(np.uint64)) >> np.uint64(2)).view(np.int64), a, b)
 
@@ -264,16 +273,17 @@ def _meet(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key, turn, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            key, t, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
             if not len(key):
                 continue
             told = key < 0
             met = ~told
-            a, b = turn[told], sketch[told]
-            key, turn, sketch = key[met], turn[met], sketch[met]
+            a, b = t[told], sketch[told]
+            key, t, sketch = key[met], t[met], sketch[met]
+            turn = t ^ _ORDERS[key & 3]
             leads, follower, leader = lead(key, turn, sketch.view(np.uint64), most) if len(key) else (np.zeros(0, bool), a[:0], a[:0])
             last = leads & (key == key[-1]) if len(key) else leads
-            held = [key[last], turn[last], sketch[last]]
+            held = [key[last], t[last], sketch[last]]
             a, b = _different(np.concatenate([a, follower]), np.concatenate([b, leader]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -304,9 +314,12 @@ def similar(texts: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WOR
     segments two of them differ in at most two bits, nearly always, and meet. Pairs that meet are
     verified by their whole texts. Texts without a word have no shingle and no pair."""
     shared_folder(texts.sparkSession)
-    rows = texts.mapInArrow(_place(shingle, words, most), "key long, turn long, sketch long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(_meet(most), "a long, b long").distinct().checkpoint()
-    needed = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    rows = texts.mapInArrow(_place(shingle, words, most), "key long, t long, sketch long")
+    pairs = rows.repartition("key").sortWithinPartitions("key", _turn()).mapInArrow(_meet(most), "a long, b long").distinct().checkpoint()
+    needed = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct().checkpoint()
+    if needed.count() <= SENT_TEXTS:
+        #: then no text is shuffled that no pair has
+        needed = F.broadcast(needed)
     some = texts.join(needed, "t", "left_semi").dropDuplicates(["t"])
     x, y = some.select(F.col("t").alias("a"), F.col("text").alias("x")), some.select(F.col("t").alias("b"), F.col("text").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(shingle, similarity), "a long, b long").checkpoint()

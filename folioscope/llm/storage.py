@@ -20,3 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="folioscope-")
     context.setCheckpointDir(where)
     return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system, with what is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
