@@ -120,7 +120,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 OP6_SQL = """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 1000
 """
 

@@ -32,6 +32,8 @@ from folioscope.llm.storage import shared_folder
 
 #: Bytes of records in a package, and payload bytes from which equal ones are stored once.
 PACKAGE_BYTES, REVISIT_BYTES = 16 << 20, 1000
+#: Tasks that packages are read in at most.
+TASKS = 1 << 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -306,5 +308,8 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the packages (folder, name): page_id, url, record_type, refers_to,
     payload_digest, payload_bytes, and payload (null for revisits, or where not asked for).
 
-    Packages without an index or an archive member have no records; damaged ones raise."""
-    return packages.select("folder", "name").repartition("name").mapInArrow(_read(payloads), "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    Packages without an index or an archive member have no records; damaged ones raise. Their names
+    are dealt out to as many tasks as there are packages, up to TASKS: a number that is named stays
+    as it is, where a few short rows would else be merged into one task that reads everything."""
+    names = packages.select("folder", "name")
+    return names.repartition(max(1, min(TASKS, names.count()))).mapInArrow(_read(payloads), "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
