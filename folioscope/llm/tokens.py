@@ -1,12 +1,12 @@
 """Token counts of whole texts with a fixed public vocabulary.
 
-Huge documents are encoded in overlapping chunks, with offsets. Two chunks are spliced where
-both have a token boundary at the same place and go on alike for a while after it: from there
-on the left-to-right pre-tokenizer and the merges inside its pieces can't differ. Where the
-overlap shows no such place, it is widened and the next chunk encoded again, up to the whole
-rest of the document.
+Documents longer than a chunk are encoded in overlapping chunks, with offsets. Two chunks are
+spliced where both begin a piece of the pre-tokenizer at the same place, away from the cuts: from
+there on the left-to-right pre-tokenizer and the merges inside its pieces can't differ. Where
+the overlap shows no such place, it is widened and the next chunk encoded again, up to the last
+splice.
 
-Other texts are cut at single spaces between two characters that are no white space, where the
+Texts of one chunk are cut at single spaces between two characters that are no white space, where the
 pre-tokenizer always begins a new piece, and the library's count of a segment is remembered.
 """
 
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 
 from folioscope.llm import text as tx
 
-#: A text of more characters than HUGE is encoded in chunks; characters of a chunk, of the
-#: overlap of two, and how many boundaries in a row must agree.
-HUGE, CHUNK, OVERLAP, AGREE = 100_000, 1 << 15, 256, 16
+#: Characters of a chunk, of the overlap of two, and from the end of a chunk that no splice is made
+#: in (no rule of the pre-tokenizer looks more than three ahead).
+CHUNK, OVERLAP, MARGIN = 1 << 15, 256, 16
 #: Segments whose counts a task remembers, the longest of them, and texts handled at a time.
 REMEMBERED, LONGEST, TEXTS = 1_200_000, 64, 256
 
@@ -41,58 +41,56 @@ def load(path: str):
     return tokenizer
 
 
-def _bounds(tokenizer, text: str, base: int) -> tuple[list[int], list[tuple[int, int]]]:
+def _bounds(tokenizer, text: str, base: int) -> tuple[list[int], list[tuple[int, int]], list[bool]]:
+    """Ids, offsets, and whether each token begins a piece of the pre-tokenizer."""
     got = tokenizer.encode(text, add_special_tokens=False)
-    return got.ids, [(a + base, b + base) for a, b in got.offsets]
-
-
-def _meeting(left: list[tuple[int, int]], left_ids: list[int], right: list[tuple[int, int]], right_ids: list[int], start: int, agree: int) -> tuple[int, int] | None:
-    """Indexes into both chunks' tokens of a stable common boundary: `agree` tokens in a row
-    with the same ids and offsets, not at the cut that `start` made; the splice is in the
-    middle of the run, so that neither chunk's edge has a say in it."""
-    place = {}
-    for j, span in enumerate(right):
-        place.setdefault(span, j)
-    run = 0
-    for i in range(len(left)):
-        j = place.get(left[i])
-        if j is not None and left[i][0] > start and right_ids[j] == left_ids[i]:
-            run = run + 1 if run and right[j - 1] == left[i - 1] and right_ids[j - 1] == left_ids[i - 1] else 1
-            if run >= agree:
-                return i - agree // 2, j - agree // 2
-        else:
-            run = 0
+    word = got.word_ids
+    return got.ids, [(a + base, b + base) for a, b in got.offsets], [w is None or not n or w != word[n - 1] for n, w in enumerate(word)]
+
+
+def _meeting(left: tuple, right: tuple, low: int, high: int) -> tuple[int, int] | None:
+    """Indexes into both chunks' tokens of the last boundary that is proven to be one of the whole text:
+    both chunks begin a piece there, after the place `low`, where the right one was cut, and before
+    `high`, so far from the end of the left one that no rule of the pre-tokenizer looks across it.
+
+    Up to that place the left chunk reads the whole text from the left, as its pieces don't depend on
+    what comes later; and from the beginning of a piece on all that follows depends only on what
+    comes after it. So the right chunk, too, reads the whole text from there on."""
+    there = {span[0]: j for j, (span, begins) in enumerate(zip(right[1], right[2])) if begins and span[0] > low}
+    for i in range(len(left[0]) - 1, -1, -1):
+        at = left[1][i][0]
+        if at <= low:
+            break
+        if left[2][i] and at < high and at in there:
+            return i, there[at]
     return None
 
 
-def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE) -> int:
+def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
     """Tokens of a text, encoded chunk by chunk."""
-    ids, spans = _bounds(tokenizer, text[:chunk], 0)
+    margin = max([margin, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+    left = _bounds(tokenizer, text[:chunk], 0)
     end, total, begin = min(chunk, len(text)), 0, 0
     while end < len(text):
-        width, met, reach = overlap, None, end
+        width, met, reach = max(overlap, 2 * margin), None, end
         while met is None:
             start = max(begin, end - width)
-            #: the new chunk grows with the overlap, so that it always reaches beyond the old one
+            #: the new chunk reaches beyond the old one, however wide the overlap is
             reach = min(len(text), end + chunk)
-            new_ids, new_spans = _bounds(tokenizer, text[start:reach], start)
-            #: tokens at the end of the left chunk may be cut: they have no part in the match
-            low = next((i for i in range(len(spans) - 1, -1, -1) if spans[i][0] < start), -1) + 1
-            met = _meeting(spans[low:], ids[low:], new_spans, new_ids, start, agree)
-            if met is not None:
-                met = met[0] + low, met[1]
-            elif start == begin:
-                #: nothing in common as far back as the last splice: encode all of it anew
-                new_ids, new_spans = _bounds(tokenizer, text[begin:reach], begin)
-                met = (0, 0)
-            else:
+            right = _bounds(tokenizer, text[start:reach], start)
+            met = _meeting(left, right, start + 1, end - margin)
+            if met is None:
+                if start == begin:
+                    #: no boundary as far back as the last one: all since then is encoded anew
+                    met = (0, 0)
                 width *= 4
         total += met[0]
-        ids, spans, begin, end = new_ids[met[1] :], new_spans[met[1] :], new_spans[met[1]][0] if new_spans else begin, reach
-    return total + len(ids)
+        left = tuple(x[met[1] :] for x in right)
+        begin, end = left[1][0][0] if left[1] else begin, reach
+    return total + len(left[0])
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs with n_bytes (of UTF-8) and n_tokens.
 
     path: a tokenizer file that every executor has. No begin, end or padding tokens are added;
@@ -100,7 +98,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", huge: int = HUG
     and empty texts have 0 bytes and 0 tokens. A column with a result's name is replaced.
     """
 
-    key = (path, huge, chunk, overlap)
+    key = (path, chunk, overlap)
 
     def work(batch: pa.RecordBatch) -> dict:
         return _counter(*key).batch(batch.column(batch.schema.get_field_index(text)))
@@ -130,8 +128,8 @@ def _byte_letters() -> dict[str, str]:
 class SegmentCounter:
     """Counts tokens of texts, with the counts of frequent segments at hand."""
 
-    def __init__(self, tokenizer, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
-        self.tokenizer, self.huge, self.chunk, self.overlap = tokenizer, huge, chunk, overlap
+    def __init__(self, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
+        self.tokenizer, self.chunk, self.overlap = tokenizer, chunk, overlap
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         #: strings that the library takes out of a text before anything else
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
@@ -169,7 +167,7 @@ class SegmentCounter:
         for value in values:
             if not value:
                 parts.append(0)
-            elif len(value) > self.huge:
+            elif len(value) > self.chunk:
                 parts.append(count_long(self.tokenizer, value, self.chunk, self.overlap))
             elif any(t in value for t in self.special):
                 parts.append(len(self.tokenizer.encode(value, add_special_tokens=False)))
