@@ -32,7 +32,7 @@ from folioscope.llm import text as tx
 from folioscope.llm.storage import shared_folder
 
 #: Classes of a family that are examined together in one task.
-CROWDED = 192
+CROWDED = 2048
 #: Bytes of areas that a task examines at a time.
 BUNDLE_BYTES = 1 << 21
 
@@ -62,15 +62,13 @@ def anchors(values: np.ndarray, first: np.ndarray, window: int, k: int) -> dict[
     if not len(lengths) or lengths.max() < window:
         return {"row": empty, "h": empty, "c": empty, "s": empty, "left": empty, "n": empty}
     grams = tx.gram_hash(values, k)
-    bits = max(20, int(len(values)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    least = tx.sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - k + 1)
+    least = tx.sliding_least(tx.placed(grams), window - k + 1)
     long = lengths >= window
     marks = np.zeros(len(values) + 1, np.int8)
     marks[first[:-1][long]] += 1
     marks[first[1:][long] - window + 1] -= 1
     runs = np.flatnonzero(np.cumsum(marks, dtype=np.int8)[: len(least)])
-    winner = (least[runs] & low).astype(np.int64)
+    winner = (least[runs] & tx.PLACE).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], winner[1:] != winner[:-1]]))
     tail = np.concatenate([head[1:], [len(runs)]]) - 1
     p, s, e = winner[head], runs[head], runs[tail]
@@ -186,8 +184,10 @@ def _count_part(table: pa.Table) -> pa.Table:
     keys, sizes = _flat(table, "keys")
     different, least, times, _ = _combined(keys, np.repeat(table["first"].to_numpy(), sizes), np.repeat(table["copies"].to_numpy(), sizes))
     bucket = np.mod(different, table["parts"][0].as_py())
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     part = table["part"][0].as_py()
-    return _counts(table["h"][0].as_py(), [(part, int(b), different[at], least[at], times[at]) for b in np.unique(bucket) for at in [bucket == b]])
+    return _counts(table["h"][0].as_py(), [(part, int(bucket[at[0]]), different[at], least[at], times[at]) for at in np.split(order, cuts) if len(at)])
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -195,10 +195,10 @@ def _meet(table: pa.Table) -> pa.Table:
     keys, sizes = _flat(table, "keys")
     first, times = _flat(table, "first")[0], _flat(table, "times")[0]
     different, least, total, number = _combined(keys, first, times)
-    row = np.repeat(np.arange(len(sizes)), sizes)
     news = (least[number] < first) | (total[number] > times)
+    ends = np.cumsum(sizes)
     parts = table["part"].to_pylist()
-    rows = [(parts[r], 0, keys[at], least[number[at]], total[number[at]]) for r in range(len(sizes)) for at in [news & (row == r)] if at.any()]
+    rows = [(part, 0, keys[at], least[number[at]], total[number[at]]) for part, end, size in zip(parts, ends.tolist(), sizes.tolist()) for at in [end - size + np.flatnonzero(news[end - size : end])] if len(at)]
     return _counts(table["h"][0].as_py(), rows)
 
 
@@ -231,7 +231,7 @@ def number_rows(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFra
 
 
 def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[list[dict]], list[list[dict]]], crowded: int = CROWDED) -> DataFrame:
-    """(rid, spans): for the rows of `number_rows` the ranges of units that are to go: those of
+    """(rid, did, spans): for the rows of `number_rows` the ranges of units that are to go: those of
     runs that also start in an earlier document (across), or anywhere else (not across)."""
     shared_folder(rows.sparkSession)
     found = rows.select("rid", "did", "text").mapInArrow(_anchor_rows(units), "h long, c long, rid long, did long, s int, left int, n int")
@@ -241,25 +241,25 @@ def repeated_runs(rows: DataFrame, units: Units, across: bool, work: Callable[[l
         families = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     #: Written once to the shared folder: all that follows reads these few rows instead of texts.
     held = found.join(tx.splittable(families), "h").checkpoint()
-    classes = held.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("did").alias("first"), F.min(F.struct("rid", "s", "left", "n")).alias("at"))
+    classes = held.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("did").alias("first"), F.min(F.struct("rid", "did", "s", "left", "n")).alias("at"))
     sizes = classes.groupBy("h").agg(F.count("*").alias("members"))
     classes = classes.join(tx.splittable(sizes), "h")
     alone = classes.where("members = 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"), F.col("first"), (F.col("copies") > 1).alias("again"))).alias("runs"))
-    several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n"), F.ceil(F.col("members") / crowded).cast("int").alias("parts")).alias("class"), (F.col("members") > crowded).alias("crowd"))
+    several = classes.where("members > 1").select(F.col("at.rid").alias("rid"), F.col("at.did").alias("did"), F.struct("h", "c", "first", "copies", F.col("at.s").alias("s"), F.col("at.left").alias("left"), F.col("at.n").alias("n"), F.ceil(F.col("members") / crowded).cast("int").alias("parts")).alias("class"), (F.col("members") > crowded).alias("crowd"))
     #: These joins with texts and the caller's have all columns of rows, and so one exchange. Of rows
     #: with one rid one stands for the class.
-    some = several.where("not crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").dropDuplicates(["rid"]).select("classes", "text", "did", "row")
+    some = several.where("not crowd").groupBy("rid", "did").agg(F.collect_list("class").alias("classes")).join(rows, ["rid", "did"]).dropDuplicates(["rid", "did"]).select("classes", "text", "did", "row")
     areas = some.mapInArrow(_areas(units, False), "h long, c long, first long, copies long, left int, n int, area binary")
     examined = areas.repartition("h").sortWithinPartitions("h").mapInArrow(_examine(work), FOUND)
-    many = several.where("crowd").groupBy("rid").agg(F.collect_list("class").alias("classes")).join(rows, "rid").dropDuplicates(["rid"]).select("classes", "text", "did", "row")
+    many = several.where("crowd").groupBy("rid", "did").agg(F.collect_list("class").alias("classes")).join(rows, ["rid", "did"]).dropDuplicates(["rid", "did"]).select("classes", "text", "did", "row")
     each = many.mapInArrow(_areas(units, True), "h long, c long, first long, copies long, parts int, keys array<long>").withColumn("part", F.pmod("c", F.col("parts")).cast("int"))
     known = each.groupBy("h", "part").applyInArrow(_count_part, _COUNTS)
     met = known.groupBy("h", "bucket").applyInArrow(_meet, _COUNTS).select(F.col("h").alias("met_h"), F.col("part").alias("met_part"), "keys", "first", "times")
     counted = each.groupBy("h", "part").cogroup(met.groupBy("met_h", "met_part")).applyInArrow(_tell, FOUND)
     results = alone.unionByName(examined).unionByName(counted)
     goes: Column = F.filter("runs", lambda r: r["first"] < F.col("did")) if across else F.filter("runs", lambda r: r["again"])
-    hits = held.select("h", "c", "rid", "did", "s").join(results, ["h", "c"]).select("rid", F.transform(goes, lambda r: F.struct((F.col("s") + r["a"]).alias("start"), (F.col("s") + r["b"] + F.lit(units.window)).alias("end"))).alias("spans"))
-    return hits.where(F.size("spans") > 0).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = held.select("h", "c", "rid", "did", "s").join(results, ["h", "c"]).select("rid", "did", F.transform(goes, lambda r: F.struct((F.col("s") + r["a"]).alias("start"), (F.col("s") + r["b"] + F.lit(units.window)).alias("end"))).alias("spans"))
+    return hits.where(F.size("spans") > 0).groupBy("rid", "did").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -274,5 +274,5 @@ def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def finish(rows: DataFrame, spans: DataFrame, cut: Callable, fields: list[tuple[str, str]]) -> DataFrame:
     """Gives each row its spans and cuts them out; the columns of `row` come first."""
-    whole = rows.join(spans, "rid", "left").select("row", "text", "spans", "did")
+    whole = rows.join(spans, ["rid", "did"], "left").select("row", "text", "spans", "did")
     return whole.mapInArrow(cut, T.StructType([rows.schema["row"], *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])).select("row.*", *[name for name, _ in fields])

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioscope.llm import suffixes
+from folioscope.llm import text as tx
 from folioscope.llm.phrases import dedup_phrases
 from folioscope.llm.repeats import number_rows
 from folioscope.llm.suffixes import dedup_substrings, two_stage_order
@@ -131,3 +132,35 @@ def test_equal_rows(spark, crowded, monkeypatch):
     assert ordered((r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in got.collect()) == ordered(brute_words(rows, 8))
     carried = dedup_substrings(df, length=20, gram=6, carry=True)
     assert sorted(int(r.rest.h) for r in carried.collect()) == list(range(len(rows)))
+
+
+def test_rows_keep_their_repeats_when_split_anew(spark, tmp_path):
+    """The input is split otherwise after the candidates are written than before."""
+    rows = [(i, t) for i, (_, t) in enumerate(fixture_rows(5))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    try:
+        planned = dedup_substrings(docs, length=20, gram=6), dedup_phrases(docs, words=8, gram=3)
+        before = docs.rdd.getNumPartitions()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "3k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        assert spark.read.parquet(f"{tmp_path}/d").rdd.getNumPartitions() > before
+        got = [ordered((r.doc_id, r[i], r.n_removed, bytes(r.kept) if i == "n_bytes" else r.kept.encode()) for r in p.collect()) for p, i in zip(planned, ("n_bytes", "n_words"))]
+    finally:
+        for name in ("files.maxPartitionBytes", "files.openCostInBytes", "leafNodeDefaultParallelism"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert got == [ordered(brute_bytes(rows, 20)), ordered(brute_words(rows, 8))]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Each text is worked on in a slice of its own size; what they share is found wherever it is."""
+    r = random.Random(6)
+    some = lambda n: " ".join(f"{r.getrandbits(40):x}" for _ in range(n))
+    shared = some(60)
+    rows = [(1, some(60_000) + " " + shared + " " + some(5)), (2, shared), (3, some(90_000) + " " + shared)]
+    assert min(len(rows[0][1]), len(rows[2][1])) > tx.SLICE_BYTES
+    df = spark.createDataFrame([(*x, "x", 1) for x in rows], SCHEMA)
+    assert [(x.doc_id, x.n_removed) for x in dedup_phrases(df).orderBy("doc_id").collect()] == [(1, 0), (2, 60), (3, 60)]
+    got = {x.doc_id: x for x in dedup_substrings(df).collect()}
+    assert all(shared.encode() not in bytes(x.kept) and len(shared) <= x.n_removed <= len(shared) + 2 for x in got.values())
