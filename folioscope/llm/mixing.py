@@ -26,6 +26,8 @@ BUDGET, REPEATS = 1.5, 2
 #: Documents that a range of running sums should have at most, and the bits of the least and
 #: the largest number of ranges.
 RANGE_ROWS, RANGE_BITS = 20_000, (8, 16)
+#: Tasks that the packets of a step may be dealt to.
+SALTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -91,9 +93,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     line = Window.orderBy("step")
     ranges = packets.groupBy("step").agg(F.sum("size").alias("step_size"))
     goal = sizes.agg(F.floor(F.sum("source_size") * F.lit(float(budget))).alias("goal"))
-    ranges = ranges.withColumn("step_start", F.sum("step_size").over(line) - F.col("step_size")).crossJoin(F.broadcast(goal)).select(F.col("step").alias("q"), "step_start", "goal")
-    ahead = Window.partitionBy("step").orderBy("finish", "tag", "doc_id", "source", "size", "n", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    line_up = packets.join(ranges, packets["step"] == F.col("q")).withColumn("used", F.col("step_start") + F.sum("size").over(ahead))
-    kept = line_up.withColumn("in", (F.col("used") <= F.col("goal")).cast("int"))
+    ranges = ranges.withColumn("step_start", F.sum("step_size").over(line) - F.col("step_size")).crossJoin(F.broadcast(goal)).select(F.col("step").alias("q"), "step_start", "step_size", "goal")
+    #: A step that ends before the budget does goes in whole, one that begins after it not at all; only
+    #: in the one where it ends does a packet's place in line matter. The packets of all others are
+    #: dealt out by a salt, so a step that very many late or empty packets share is no single task.
+    line_up = packets.join(F.broadcast(ranges), packets["step"] == F.col("q"))
+    edge = (F.col("step_start") <= F.col("goal")) & (F.col("step_start") + F.col("step_size") > F.col("goal"))
+    line_up = line_up.withColumn("edge", edge).withColumn("salt", F.when(F.col("edge"), 0).otherwise(1 + F.pmod(F.xxhash64("tag", "n", "copy"), F.lit(SALTS))))
+    ahead = Window.partitionBy("step", "salt").orderBy("finish", "tag", "doc_id", "source", "size", "n", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.when(F.col("edge"), F.col("step_start") + F.sum("size").over(ahead)).otherwise(F.col("step_start"))
+    kept = line_up.withColumn("in", (used <= F.col("goal")).cast("int"))
     out = kept.groupBy("doc_id", "source", "size", "slot", "n").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("in").cast("int").alias("copies"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
