@@ -10,6 +10,7 @@ given, are one more labeller of each, as fallible as the others.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -237,7 +238,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUMENTS, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """Fits on a sample of about `limit` rows that have a text: labelled ones where labels
-    (doc_id, quality, toxic) are given, else any. Features, not texts, come to the driver."""
+    (doc_id, quality, toxic) are given, else any. The sample's features meet in one task, which
+    returns the model."""
     rows = tx.doc_input(docs, doc_id, text).where(F.col("text").isNotNull())
     none = F.lit(None).cast("int")
     chosen = lambda total: F.xxhash64("doc_id", F.lit("fit")) <= F.lit(tx.hash_limit(limit, total))
@@ -252,22 +254,39 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, limit: int = FIT_DOCUM
         sample = rows.where(chosen(max(1, rows.select("doc_id").distinct().count()))).select("*", none.alias("quality"), none.alias("toxic"))
     #: one text for each id, so that a repeated id can't multiply what reaches the driver
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "quality", "toxic")).alias("one")).select("one.*")
-    got = sample.mapInArrow(_sampled, "measures array<double>, si array<int>, sw array<float>, wi array<int>, ww array<tinyint>, quality int, toxic int").toArrow()
-    measures = np.array(got["measures"].to_pylist()).reshape(-1, len(MEASURES))
-    #: exact copies count once
-    _, once = np.unique(measures, axis=0, return_index=True)
-    got, measures = got.take(np.sort(once)), measures[np.sort(once)]
-    models, rates = {}, {}
-    for name, labellers, column, flip, part in (("junk", JUNK, "quality", True, "s"), ("toxic", TOXIC, "toxic", False, "w")):
-        index, weight = ([np.asarray(x.values) for x in got[part + kind]] for kind in ("i", "w"))
-        label = got[column].fill_null(-1).to_numpy()
-        label = np.where(label < 0, -1, 1 - label if flip else label).astype(np.int8)
-        target, rates[name] = posteriors(np.column_stack([votes(measures, labellers), label]))
-        models[name] = train(index, weight, target)
-        del index, weight
-    del got
-    pa.default_memory_pool().release_unused()
-    return Classifier(models["junk"], models["toxic"], rates)
+    features = sample.mapInArrow(_sampled, "measures array<double>, si array<int>, sw array<float>, wi array<int>, ww array<tinyint>, quality int, toxic int")
+    #: one task, for a bounded number of rows; only the model comes to the driver
+    row = features.repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else _nothing_known()
+
+
+def _nothing_known() -> Classifier:
+    """The classifier of an empty sample, for which no text is surely bad."""
+    none = np.zeros(1 << BITS), -1.0
+    return Classifier(none, none, {name: np.zeros((0, 2)) for name in ("junk", "toxic")})
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classifier of the features of a sample, whatever the order that they arrive in."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        model = _nothing_known()
+    else:
+        got = pa.Table.from_batches(held)
+        measures = np.array(got["measures"].to_pylist()).reshape(-1, len(MEASURES))
+        label = {c: got[c].fill_null(-1).to_numpy() for c in ("quality", "toxic")}
+        #: exact copies count once; rows are taken in order of their measures
+        _, once = np.unique(np.column_stack([measures, label["quality"], label["toxic"]]), axis=0, return_index=True)
+        got, measures = got.take(once), measures[once]
+        models, rates = {}, {}
+        for name, labellers, column, flip, part in (("junk", JUNK, "quality", True, "s"), ("toxic", TOXIC, "toxic", False, "w")):
+            index, weight = ([np.asarray(x.values) for x in got[part + kind]] for kind in ("i", "w"))
+            own = label[column][once]
+            own = np.where(own < 0, -1, 1 - own if flip else own).astype(np.int8)
+            target, rates[name] = posteriors(np.column_stack([votes(measures, labellers), own]))
+            models[name] = train(index, weight, target)
+        model = Classifier(models["junk"], models["toxic"], rates)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 RESULT = [("junk", "double"), ("toxic", "double"), ("keep", "boolean")]

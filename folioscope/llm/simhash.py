@@ -12,8 +12,7 @@ are in one, or that look one up, are linked by the other form of the same condit
 within 2r bits when the balls of radius r around them meet. Each goes to the values in its own
 ball, which names a link for each of the meeting places instead of one for each pair.
 
-Links become components by stars: each node is linked to the least of its neighbours, again
-and again, until nothing changes; the sums of a star combine before the shuffle.
+Links become components by stars (see operators/graph.py).
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import text as tx
 from folioscope.llm.storage import shared_folder
+from folioscope.operators.graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints of one segment value that are compared one by one.
@@ -101,30 +101,6 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
     return near.unionAll(met.join(places, "b").where("a <> to").select("a", F.col("to").alias("b")))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): the least node that each node of the edges (a, b) can reach.
-
-    Stars: every node is hooked to the least neighbour (or itself), larger neighbours first, then
-    smaller ones, until the stars stop changing. Every round is written to the shared folder."""
-    shared_folder(edges.sparkSession)
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(tx.splittable(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(tx.splittable(lower), "u")
-        now = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 #: The wide form, for texts that are alike by their shingles: words of a shingle, 64-bit words of a
 #: fingerprint, the similarity of two sets of shingles, and bits by which two sketches (the first
 #: word of a fingerprint) of such sets may differ: 10 are expected at that similarity, 20 is beyond
