@@ -54,3 +54,14 @@ def parts(*keys):
 def test_keys_of_six_digits(spark, tmp_path, name):
     got, want = same_as_sql(spark, tmp_path, name, part=parts(7, 100001, 100002, 100003, 100004, 100006, 100009, 100015))
     assert got == want
+
+
+# -- graph ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chain", [[1, 2], [1, 5, 77], [1, 2, 3, 4, 77]])
+def test_path_length(spark, tmp_path, chain):
+    """Without a path the length is null, as in the SQL."""
+    lines = [(1, p, n) for n, p in enumerate(chain)] + [(2, 77, 0), (2, 78, 1)]
+    got, want = same_as_sql(spark, tmp_path, "graph_path_length", lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
+    assert got == want
