@@ -56,6 +56,23 @@ def test_keys_of_six_digits(spark, tmp_path, name):
     assert got == want
 
 
+# -- files ----------------------------------------------------------------------------------------------------
+
+
+def test_marc_files_are_written_a_record_at_a_time(spark, data, monkeypatch):
+    monkeypatch.setattr(source_queries, "_MARC_RECORDS", 30)
+    where = source_queries._marc_files(spark, data)
+    n = spark.read.parquet(f"{data}/part.parquet").count()
+    lines = spark.read.text(where).withColumn("file", F.input_file_name())
+    assert lines.count() == n + 2 * -(-n // 30)
+    files = spark.read.text(where, wholetext=True).collect()
+    assert len(files) == -(-n // 30)
+    for f in files:
+        assert f.value.startswith("<collection ") and f.value.endswith("</record>\n</collection>\n")
+        assert f.value.count("<collection ") == f.value.count("</collection>") == 1
+    assert markup.marc_records(spark, where).count() == spark.read.parquet(f"{data}/part.parquet").where("p_partkey % 5 <> 0").count()
+
+
 # -- graph ------------------------------------------------------------------------------------------------------
 
 
