@@ -50,7 +50,74 @@ def parts(*keys):
     return [(k, f"red bolt {k % 3}", "Brand#1", "SMALL", k % 50, 900.0) for k in keys], PART
 
 
-@pytest.mark.parametrize("name", ["stored_rows"])
+# -- linkage ------------------------------------------------------------------------------------------------
+
+_ENTRY, _CANDIDATE = "key string, title string, author string, year string", "id long, title string, year string, authors array<string>, pos int"
+
+
+def _prefix(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _titles(rng, n):
+    """Titles that share beginnings of many lengths."""
+    return ["".join(rng.choice("ab") if i in (3, 9, 11, 13, 14, 15, 17, 19, 22) else "x" for i in range(rng.choice((4, 9, 10, 12, 14, 16, 18, 20, 25)))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def records():
+    rng = random.Random(5)
+    entries = [(f"e{i}", t, rng.choice(("Lovelace", "Li", "", None)), rng.choice(("2000", "2001", "", None))) for i, t in enumerate(_titles(rng, 60))]
+    entries += [("none", None, "Li", "2000"), ("empty", "", "Li", "2000"), ("e0", "xxxbxxxxxaxxxx", "Li", "2001")]
+    places = rng.sample(range(1000), 60)
+    found = [(i, t, rng.choice(("2000", "2001", None)), rng.choice((["Ada Lovelace"], ["Ming Li"], ["Grace Hopper"], [], None)), p) for (i, t), p in zip(enumerate(_titles(rng, 60)), places)]
+    return entries, [*found, (99, None, "2000", ["Ming Li"], 2000)]
+
+
+def _by_hand(entries, found, kind):
+    """The rules of the three matches, pair by pair."""
+    out = {}
+    for key, t, author, year in entries:
+        for i, ct, c_year, authors, pos in found:
+            if not t or not ct:
+                continue
+            n, names = _prefix(t, ct), None if authors is None else " ".join(authors).lower()
+            own = (author or "").lower()
+            ok = True if not own else None if names is None else own[:4] in names if len(own) >= 4 else f" {own} " in f" {names} "
+            close = n >= 15 or (n >= 10 and n >= 0.8 * len(t))
+            score = n + 10 * bool(close and year and year == c_year) + 15 * bool(close and ok)
+            if kind == "book" and n >= min(20, len(t), len(ct)):
+                out[key] = min(out.get(key, (1e9,)), (pos, i))
+            if kind == "first" and close and ok:
+                out[key] = min(out.get(key, (1e9,)), (pos, i))
+            if kind == "best" and n >= 10:
+                out[key] = min(out.get(key, (1e9,)), (-score, pos, i, bool(ok)))
+    if kind == "best":
+        return {k: (b[2], -b[0]) for k, b in out.items() if (-b[0] >= 20 and b[3]) or -b[0] >= 35}
+    return {k: b[1] for k, b in out.items()}
+
+
+def test_matches_are_those_of_all_pairs(spark, records):
+    entries, found = spark.createDataFrame(records[0], _ENTRY), spark.createDataFrame(records[1], _CANDIDATE)
+    assert {r.key: r.c_id for r in linkage.book_match(entries, found).collect()} == _by_hand(*records, "book")
+
+
+def _alike(spark, n, one=False):
+    """Entries and candidates that share a long beginning, n of each; of one title, or of as many."""
+    title = F.lit("the same beginning of all") if one else F.concat(F.lit("the same beginning of all "), F.col("id").cast("string"))
+    rows = spark.range(n).select(F.col("id").cast("string").alias("key"), "id", title.alias("title"), F.lit("Lovelace").alias("author"), F.lit("2000").alias("year"), F.array(F.lit("Ada Lovelace")).alias("authors"), F.col("id").cast("int").alias("pos"))
+    return rows.select("key", "title", "author", "year"), rows.select("id", "title", "year", "authors", "pos")
+
+
+@pytest.mark.parametrize("one", [False, True])
+@pytest.mark.parametrize("match", ["book_match"])
+def test_matches_make_no_pairs(plain, match, one):
+    rows, most = joined(getattr(linkage, match)(*_alike(plain, 400, one)))
+    assert len(rows) == 400 and most <= 400 * 40
+    assert one or match != "best_match" or all(r.key == str(r.c_id) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["stored_rows", "book_prefix"])
 def test_keys_of_six_digits(spark, tmp_path, name):
     got, want = same_as_sql(spark, tmp_path, name, part=parts(7, 100001, 100002, 100003, 100004, 100006, 100009, 100015))
     assert got == want
