@@ -99,6 +99,7 @@ def _by_hand(entries, found, kind):
 
 def test_matches_are_those_of_all_pairs(spark, records):
     entries, found = spark.createDataFrame(records[0], _ENTRY), spark.createDataFrame(records[1], _CANDIDATE)
+    assert {r.key: (r.c_id, r.score) for r in linkage.best_match(entries, found).collect()} == _by_hand(*records, "best")
     assert {r.key: r.c_id for r in linkage.first_match(entries, found).collect()} == _by_hand(*records, "first")
     assert {r.key: r.c_id for r in linkage.book_match(entries, found).collect()} == _by_hand(*records, "book")
 
@@ -111,14 +112,14 @@ def _alike(spark, n, one=False):
 
 
 @pytest.mark.parametrize("one", [False, True])
-@pytest.mark.parametrize("match", ["first_match", "book_match"])
+@pytest.mark.parametrize("match", ["best_match", "first_match", "book_match"])
 def test_matches_make_no_pairs(plain, match, one):
     rows, most = joined(getattr(linkage, match)(*_alike(plain, 400, one)))
     assert len(rows) == 400 and most <= 400 * 40
     assert one or match != "best_match" or all(r.key == str(r.c_id) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["stored_rows", "book_prefix", "fuzzy_first"])
+@pytest.mark.parametrize("name", ["stored_rows", "book_prefix", "fuzzy_first", "fuzzy_best"])
 def test_keys_of_six_digits(spark, tmp_path, name):
     got, want = same_as_sql(spark, tmp_path, name, part=parts(7, 100001, 100002, 100003, 100004, 100006, 100009, 100015))
     assert got == want
