@@ -119,7 +119,18 @@ def test_matches_make_no_pairs(plain, match, one):
     assert one or match != "best_match" or all(r.key == str(r.c_id) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["stored_rows", "book_prefix", "fuzzy_first", "fuzzy_best"])
+def test_verification_makes_no_pairs(plain):
+    entries, found = _alike(plain, 400)
+    entries = entries.select("key", F.col("key").cast("int").alias("pos"), F.when(F.col("key") % 2 == 0, "book").otherwise("article").alias("entry_type"), "title", "author", "year", F.lit("").alias("doi"), F.lit("").alias("eprint"))
+    found = found.withColumn("doi", F.lit(None).cast("string"))
+    refs = found.select(F.col("id").cast("string").alias("ref"), "title", "year", "authors")
+    rows, most = joined(linkage.verify(entries, refs, refs, found.limit(0), found, found))
+    assert {(r.status, r.source) for r in rows} == {("ok", "SemanticScholar"), ("mismatch", "SemanticScholar")} and most <= 400 * 40
+    tally, most = joined(linkage.tally(linkage.verify(entries, refs, refs, found.limit(0), found, found)))
+    assert tally[0].ok + tally[0].mismatch == 400 and most <= 400 * 40
+
+
+@pytest.mark.parametrize("name", ["verified_entries", "status_tallies", "stored_rows", "fuzzy_best", "fuzzy_first", "book_prefix"])
 def test_keys_of_six_digits(spark, tmp_path, name):
     got, want = same_as_sql(spark, tmp_path, name, part=parts(7, 100001, 100002, 100003, 100004, 100006, 100009, 100015))
     assert got == want
