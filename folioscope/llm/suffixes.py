@@ -38,40 +38,30 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one big-endian number."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = out << np.uint64(8) | padded[at + i]
-    return out
+def _words(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one big-endian number: a view, nothing is copied."""
+    return np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
 
 
-def _direct_sort(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _direct_sort(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """`at` in order of the `depth` bytes from each place: eight at a time, going on only
-    within groups that are still tied."""
-    keys = _words_at(padded, at)
+    with those that are still tied."""
+    keys = words[at].astype(np.uint64)
     order = np.argsort(keys, kind="stable")
     at, keys = at[order], keys[order]
-    group = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(at) else np.zeros(0, np.int64)
+    live, new = np.arange(len(at)), np.ones(len(at), bool)
+    new[1:] = keys[1:] != keys[:-1]
     for step in range(8, depth, 8):
-        tied = np.zeros(len(at), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        live = np.flatnonzero(tied)
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        live, group = live[tied], np.cumsum(new)[tied]
         if not len(live):
             break
-        keys = _words_at(padded, np.minimum(at[live] + step, len(padded) - 8))
-        order = np.lexsort((keys, group[live]))
+        keys = words[np.minimum(at[live] + step, len(words) - 1)].astype(np.uint64)
+        order = np.lexsort((keys, group))
         at[live], keys = at[live][order], keys[order]
-        own = group[live]
         new = np.ones(len(live), bool)
-        new[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
-        #: numbers of new groups stay between those of their neighbours: renumber all
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = group[1:] != group[:-1]
-        fresh[live] |= new
-        group = np.cumsum(fresh)
+        new[1:] = (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])
     return at
 
 
@@ -88,8 +78,8 @@ def two_stage_order(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
     np.add.at(marks, starts, 1)
     np.add.at(marks, stop + 1, -1)
     needed = np.cumsum(marks[:-1]) > 0
-    padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)]).astype(np.uint64)
-    sorted_small = _direct_sort(padded, np.flatnonzero(needed & small), depth)
+    words = _words(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
+    sorted_small = _direct_sort(words, np.flatnonzero(needed & small), depth)
     by_first = data[sorted_small]
     cuts = np.searchsorted(by_first, np.arange(257))
     induced = needed & ~small
@@ -130,16 +120,22 @@ def two_stage_order(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix, up to `depth`, of each suffix and the one before it."""
+    """Length of the common prefix, up to `depth`, of each suffix and the one before it: eight bytes at a
+    time, what lies beyond the end taken off."""
     out = np.zeros(len(order), np.int64)
-    padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
+    words = _words(np.concatenate([data, np.zeros(depth + 16, np.uint8)]))
     live, a, b = np.arange(1, len(order)), order[:-1], order[1:]
-    for step in range(depth):
-        same = (padded[a + step] == padded[b + step]) & (b + step < len(data)) & (a + step < len(data))
-        live, a, b = live[same], a[same], b[same]
+    most = np.minimum(depth, len(data) - np.maximum(a, b))
+    for step in range(0, depth, 8):
+        differ = (words[a + step] ^ words[b + step]).astype(np.uint64)
+        out[live] = step + 8
+        ends = differ != 0
+        out[live[ends]] = step + sum((differ[ends] < np.uint64(1 << 64 - 8 * i)).astype(np.int64) for i in range(1, 8))
+        go = ~ends & (step + 8 < most[live - 1])
+        live, a, b = live[go], a[go], b[go]
         if not len(live):
             break
-        out[live] = step + 1
+    out[1:] = np.minimum(out[1:], most)
     return out
 
 

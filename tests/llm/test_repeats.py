@@ -164,3 +164,19 @@ def test_texts_longer_than_a_slice(spark):
     assert [(x.doc_id, x.n_removed) for x in dedup_phrases(df).orderBy("doc_id").collect()] == [(1, 0), (2, 60), (3, 60)]
     got = {x.doc_id: x for x in dedup_substrings(df).collect()}
     assert all(shared.encode() not in bytes(x.kept) and len(shared) <= x.n_removed <= len(shared) + 2 for x in got.values())
+
+
+def test_suffix_order_and_prefixes_by_words_are_those_by_bytes():
+    """Eight bytes at a time, on strings that are tied for long or end early; and in few reads of each byte."""
+    rng = np.random.default_rng(3)
+    for n, letters, depth in ((1, 1, 24), (60, 1, 40), (300, 2, 24), (700, 2, 200), (900, 256, 13), (900, 3, 21)):
+        block = rng.integers(0, letters, n).astype(np.uint8)
+        data = np.concatenate([block, block, rng.integers(0, letters, 5).astype(np.uint8), block[: n // 2]])
+        raw = data.tobytes()
+        starts = np.flatnonzero(rng.random(len(data)) < 0.7)
+        order = suffixes.two_stage_order(data, starts, depth)
+        assert sorted(order.tolist()) == starts.tolist()
+        heads = [raw[i : i + depth] for i in order.tolist()]
+        assert all(x.ljust(depth, b"\0") <= y.ljust(depth, b"\0") for x, y in zip(heads, heads[1:]))
+        alike = [0] + [next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))) for x, y in zip(heads, heads[1:])]
+        assert suffixes.common_prefixes(data, order, depth).tolist() == alike[: len(order)]
