@@ -108,6 +108,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, SKETCH_BITS = 5, 12, (4, 5), 20
 #: Numbers of texts that go to all tasks at most; more are joined by a shuffle.
 SENT_TEXTS = 4_000_000
+#: Words of a fingerprint whose places are met first. What they link and the shingles of the texts that
+#: meet there say which pairs of the other words need no comparison.
+FIRST_WORDS = 1
 #: Texts whose places are made at a time, and the orders in which those of a place take the lead.
 PLACED = 2048
 _ORDERS = np.array([0, 0x5555555555555555, -0x3333333333333334, -0x5A5A5A5A5A5A5A5B], np.int64)
@@ -171,7 +174,7 @@ def places(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(used)[0], key[used]
 
 
-def lead(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lead(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows sorted by key and turn: which lead, and the pairs (follower, leader) of the others. In
     each key the first row that follows nobody leads, and all whose sketches are near its own
     follow it; so a key has as many pairs as followers, however many they are."""
@@ -187,12 +190,11 @@ def lead(key: np.ndarray, turn: np.ndarray, sketch: np.ndarray, most: int) -> tu
         leads[left[near]] = False
         left = left[~near & ~new]
     follower, leader = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-    own = _ORDERS[key[follower] & 3]
-    return leads, turn[follower] ^ own, turn[leader] ^ own
+    return leads, follower, leader
 
 
-def _place_rows(key: np.ndarray, t: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(t), pa.array(sketch)], names=["key", "t", "sketch"])
+def _place_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "t", "sketch", "apart", "sizes"])
 
 
 def _turn() -> Column:
@@ -201,15 +203,30 @@ def _turn() -> Column:
     return F.col("t").bitwiseXOR(F.element_at(F.array(*[F.lit(int(x)) for x in _ORDERS]), (kind + 1).cast("int")))
 
 
+def _open_pairs(follower: np.ndarray, leader: np.ndarray, t: np.ndarray, apart: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows those that still need a comparison, as texts, each once, the larger first.
+
+    Texts of one group don't, nor do those that can't be alike: two sets have no more in common than
+    the smaller one has, and of two texts that met before no more than what either one shares with
+    any text that met before."""
+    root = t ^ apart
+    size, shared = sizes >> 32, (sizes & 0xFFFFFFFF) - 1
+    x, y = size[follower], size[leader]
+    both = np.minimum(x, y)
+    known = (shared[follower] >= 0) & (shared[leader] >= 0)
+    both = np.where(known, np.minimum(both, np.minimum(shared[follower], shared[leader])), both)
+    use = (root[follower] != root[leader]) & (similarity[1] * both >= similarity[0] * (x + y - both))
+    return _different(t[follower[use]], t[leader[use]])
+
+
 def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pair of different texts once, the larger first."""
     pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _place(shingle: int, words: int, most: int):
-    """The places of texts. Those that meet within a batch are pairs already (rows of negative keys,
-    which go by as they are), and only the leaders go on to meet those of other batches."""
+def _wide(shingle: int, words: int):
+    """The number of shingles of each text that has a word, and its wide fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,47 +238,77 @@ def _place(shingle: int, words: int, most: int):
                 if len(s):
                     known.setdefault(t, s)
                 if len(known) == PLACED:
-                    yield from _placed(known, words, most)
+                    yield _wide_rows(known, words)
                     known = {}
-            yield from _placed(known, words, most)
+            yield _wide_rows(known, words)
 
     return run
 
 
-def _placed(known: dict[int, np.ndarray], words: int, most: int) -> Iterator[pa.RecordBatch]:
-    if known:
-        t, prints = np.array(list(known), np.int64), wide_prints(list(known.values()), words)
-        row, key = places(prints)
-        turn, sketch = t[row] ^ _ORDERS[key & 3], prints[row, 0].view(np.int64)
-        order = np.lexsort((turn, key))
-        leads, follower, leader = lead(key[order], turn[order], sketch[order].view(np.uint64), most)
-        #: text by text, which packs well
-        leads = np.sort(order[leads])
-        yield _place_rows(key[leads], t[row[leads]], sketch[leads])
-        a, b = _different(follower, leader)
-        yield _place_rows(-1 - (tx.mix(a.view(np.uint64)) >> np.uint64(2)).view(np.int64), a, b)
+def _wide_rows(known: dict[int, np.ndarray], words: int) -> pa.RecordBatch:
+    prints = [x.tobytes() for x in wide_prints(list(known.values()), words)] if known else []
+    columns = pa.array(list(known), pa.int64()), pa.array([len(s) for s in known.values()], pa.int64()), pa.array(prints, pa.binary())
+    return pa.RecordBatch.from_arrays(list(columns), names=["t", "size", "print"])
 
 
-def _meet(most: int):
+def _place(part: slice, words: int, most: int, similarity: tuple[int, int]):
+    """The places that texts have by some words of their fingerprints. Those that meet within a batch
+    are pairs already (rows of negative keys, which go by as they are), and only the leaders go on to
+    meet those of other batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PLACED):
+                batch = whole.slice(at, PLACED)
+                t, apart, sizes = (batch.column(c).to_numpy() for c in ("t", "apart", "sizes"))
+                prints = tx.buffers(batch.column("print"))[0].view(np.uint64).reshape(-1, words)
+                row, key = places(np.ascontiguousarray(prints[:, part]))
+                sketch = prints[row, 0].view(np.int64)
+                order = np.lexsort((t[row] ^ _ORDERS[key & 3], key))
+                leads, follower, leader = lead(key[order], sketch[order].view(np.uint64), most)
+                a, b = _open_pairs(row[order[follower]], row[order[leader]], t, apart, sizes, similarity)
+                #: text by text, which packs well
+                leads = np.sort(order[leads])
+                r = row[leads]
+                yield _place_rows(key[leads], t[r], sketch[leads], apart[r], sizes[r])
+                none = np.zeros(len(a), np.int64)
+                yield _place_rows(-1 - (tx.mix(a.view(np.uint64)) >> np.uint64(2)).view(np.int64), a, b, none, none)
+
+    return run
+
+
+def _meet(most: int, similarity: tuple[int, int]):
     """Candidate pairs (a, b) of a partition of places that is sorted by key and turn; of a key that
     goes on in the next batch only the leaders are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
-            key, t, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            if not len(key):
-                continue
-            told = key < 0
-            met = ~told
-            a, b = t[told], sketch[told]
-            key, t, sketch = key[met], t[met], sketch[met]
-            turn = t ^ _ORDERS[key & 3]
-            leads, follower, leader = lead(key, turn, sketch.view(np.uint64), most) if len(key) else (np.zeros(0, bool), a[:0], a[:0])
-            last = leads & (key == key[-1]) if len(key) else leads
-            held = [key[last], t[last], sketch[last]]
-            a, b = _different(np.concatenate([a, follower]), np.concatenate([b, leader]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            told = rows[0] < 0
+            a, b = rows[1][told], rows[2][told]
+            key, t, sketch, apart, sizes = rows = [x[~told] for x in rows]
+            if len(key):
+                leads, follower, leader = lead(key, sketch.view(np.uint64), most)
+                last = leads & (key == key[-1])
+                held = [x[last] for x in rows]
+                more = _open_pairs(follower, leader, t, apart, sizes, similarity)
+                a, b = _different(np.concatenate([a, more[0]]), np.concatenate([b, more[1]]))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _shingles(shingle: int):
+    """(h, t): the distinct shingles of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = batch.column("t").to_numpy()
+                for i, s in enumerate(shingle_sets(*tx.buffers(batch.column("text")), shingle)):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), t[i]))], names=["h", "t"])
 
     return run
 
@@ -288,15 +335,45 @@ def similar(texts: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WOR
 
     Fingerprints are wide, as two bits of 64 are far too few for that similarity: in one of their
     segments two of them differ in at most two bits, nearly always, and meet. Pairs that meet are
-    verified by their whole texts. Texts without a word have no shingle and no pair."""
+    verified by their whole texts. Texts without a word have no shingle and no pair.
+
+    They meet in two rounds. The first has few places; what it links are groups, and shingles that
+    only one of its texts has are counted. In the second, texts of one group and those whose own
+    shingles are too many for the similarity make no pair, which takes nothing from the groups."""
     shared_folder(texts.sparkSession)
-    rows = texts.mapInArrow(_place(shingle, words, most), "key long, t long, sketch long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", _turn()).mapInArrow(_meet(most), "a long, b long").distinct().checkpoint()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = texts.mapInArrow(_wide(shingle, words), "t long, size long, print binary").repartition(parts, "t").dropDuplicates(["t"]).checkpoint()
+
+    def met(rows: DataFrame, part: slice) -> DataFrame:
+        placed = rows.select("t", "apart", "sizes", "print").mapInArrow(_place(part, words, most, similarity), "key long, t long, sketch long, apart long, sizes long")
+        return placed.repartition("key").sortWithinPartitions("key", _turn()).mapInArrow(_meet(most, similarity), "a long, b long").distinct().checkpoint()
+
+    size = F.shiftleft("size", 32)
+    pairs = met(prints.select("t", F.lit(0).cast("long").alias("apart"), size.alias("sizes"), "print"), slice(0, FIRST_WORDS))
+    some = _texts_of(pairs, texts)
+    first = _verified(pairs, some, shingle, similarity)
+    own = some.mapInArrow(_shingles(shingle), "h long, t long").groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n = 1").groupBy("t").agg(F.count("*").alias("own"))
+    ends = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct()
+    roots = components(first).select(F.col("node").alias("t"), "root")
+    known = ends.join(own, "t", "left").join(roots, "t", "left").select("t", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("root", "t").bitwiseXOR(F.col("t")).alias("apart"))
+    rows = prints.repartition(parts, "t").join(known.repartition(parts, "t"), "t", "left")
+    #: beside the size: one more than the shingles that other texts of the first round have, or 0
+    sizes = size + F.coalesce(F.col("size") - F.col("own") + 1, F.lit(0))
+    pairs = met(rows.select("t", F.coalesce("apart", F.lit(0)).alias("apart"), sizes.alias("sizes"), "print"), slice(FIRST_WORDS, words))
+    return first.unionAll(_verified(pairs, _texts_of(pairs, texts), shingle, similarity))
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that the pairs have, each once."""
     needed = pairs.select(F.col("a").alias("t")).unionAll(pairs.select(F.col("b").alias("t"))).distinct().checkpoint()
     if needed.count() <= SENT_TEXTS:
         #: then no text is shuffled that no pair has
         needed = F.broadcast(needed)
-    some = texts.join(needed, "t", "left_semi").dropDuplicates(["t"])
+    return texts.join(needed, "t", "left_semi").dropDuplicates(["t"])
+
+
+def _verified(pairs: DataFrame, some: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs whose texts are alike."""
     x, y = some.select(F.col("t").alias("a"), F.col("text").alias("x")), some.select(F.col("t").alias("b"), F.col("text").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(shingle, similarity), "a long, b long").checkpoint()
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 import corpus_pipeline
 from folioscope.llm import simhash
@@ -72,3 +73,23 @@ def test_near_copies_between_0_8_and_0_97(spark):
             pairs.append((base, copy))
     docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [2 * i for i in range(30)]
+
+
+def test_a_group_of_near_copies_needs_few_comparisons(spark, monkeypatch):
+    r = random.Random(7)
+    base = " ".join(f"w{r.randint(0, 50000)}" for _ in range(140))
+    texts = [changed(r, base, 4) for _ in range(300)]
+    texts += [changed(r, t, 1) for t in texts[:20]]
+    compared, real = [], DataFrame.mapInArrow
+
+    def counted(df, *args, **kw):
+        if df.columns == ["a", "b", "x", "y"]:
+            compared.append(df.count())
+        return real(df, *args, **kw)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    print("compared", compared)
+    assert set(range(300)) & set(kept) == set(kept) and len(kept) >= 290
+    assert 0 < sum(compared) < 3000
